@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from maskweave.functions.ruleset import RuleSet
 from maskweave.operators.joins import hot_split_join
-from maskweave.operators.spans import detect_col, rule_lookup
+from maskweave.operators.spans import detect, rule_lookup
 from maskweave.operators.vault import allocate_tokens, empty_counters, empty_vault
 
 REPL = T.ArrayType(
@@ -36,29 +36,38 @@ REPL = T.ArrayType(
 
 
 def splice(text: Column, repl: Column) -> Column:
-    """Replace each (start, end) of a start-sorted, non-overlapping array by its token."""
-    n = F.size(repl)
-
-    def piece(i):
-        prev_end = F.when(i == 0, F.lit(0)).otherwise(F.get(repl, i - 1)["end"])
-        cur = F.get(repl, i)
-        return F.concat(text.substr(prev_end + 1, cur["start"] - prev_end), cur["token"])
+    """Replace each (start, end) of a start-sorted, non-overlapping array by its token.
 
-    last_end = F.get(repl, n - 1)["end"]
-    body = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), piece), "")
-    spliced = F.concat(body, text.substr(last_end + 1, F.lit(2147483647)))
+    ``text`` must be a plain column: it is read inside a lambda.
+    """
+    n = F.size(repl)
+    prev = F.concat(F.array(F.lit(0)), F.transform(repl, lambda x: x["end"]))
+    pieces = F.zip_with(
+        repl,
+        prev,
+        lambda cur, pe: F.when(cur.isNull(), F.lit("")).otherwise(
+            F.concat(text.substr(pe + 1, cur["start"] - pe), cur["token"])
+        ),
+    )
+    last_end = F.element_at(prev, -1)
+    spliced = F.concat(F.array_join(pieces, ""), text.substr(last_end + 1, F.lit(2147483647)))
     return F.when(text.isNull(), text).when(F.coalesce(n, F.lit(0)) == 0, text).otherwise(spliced)
 
 
 def span_occurrences(
-    hits: DataFrame, key_cols: list[str], order_cols: list[str], spans_cols: list[str], rules: RuleSet
+    base: DataFrame, key_cols: list[str], order_cols: list[str], text_cols: list[str], rules: RuleSet
 ) -> DataFrame:
-    """One row per accepted span: keys, scope, col_no, start, end, rule, value, template, ord."""
+    """One row per accepted span: keys, scope, col_no, start, end, rule, value, template, ord.
+
+    ``explode`` drops rows without spans, so detection runs once per text.
+    """
     tmpl = rule_lookup(rules, "replacement")
     parts = []
-    for col_no, sc in enumerate(spans_cols):
-        ex = hits.select(*key_cols, "scope", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)],
-                         F.explode(sc).alias("s"))
+    for col_no, c in enumerate(text_cols):
+        found = detect(base.select(*key_cols, "scope", *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order_cols)],
+                                   F.col(c).alias("_text")), "_text", rules, "_spans")
+        ex = found.select(*key_cols, "scope", *[f"_o{i}" for i in range(len(order_cols))],
+                          F.explode_outer("_spans").alias("s")).filter(F.col("s").isNotNull())
         parts.append(
             ex.select(
                 *key_cols,
@@ -117,19 +126,8 @@ def anonymize(
     scope_col = scope if isinstance(scope, Column) else F.lit(scope)
     base = df.withColumn("scope", scope_col)
 
-    spans_cols = [f"_spans{i}" for i in range(len(text_cols))]
-    detected = base.select(
-        *key_cols,
-        "scope",
-        *[c for c in order_cols if c not in key_cols],
-        *[detect_col(F.col(c), rules).alias(sc) for c, sc in zip(text_cols, spans_cols)],
-    )
-    any_hit = F.lit(False)
-    for sc in spans_cols:
-        any_hit = any_hit | (F.size(sc) > 0)
-    hits = detected.filter(any_hit).persist(StorageLevel.MEMORY_AND_DISK)
-
-    occ = span_occurrences(hits, key_cols, order_cols, spans_cols, rules)
+    # spans only (no text): read by allocation and by the token join
+    occ = span_occurrences(base, key_cols, order_cols, text_cols, rules).persist(StorageLevel.MEMORY_AND_DISK)
     if token_guard:
         prior_tokens = vault.select("scope", F.col("token").alias("value"))
         occ = occ.join(prior_tokens, ["scope", "value"], "left_anti")
@@ -198,13 +196,69 @@ def anonymize(
     return Anonymized(out, full_vault, new_rows, new_counters, spans_out)
 
 
-def restore_col(text: Column, pairs: Column) -> Column:
-    """D1 on one row: literal replacement of each (token, value) pair, longest token first.
+def token_shape_regex(families: list[str]) -> str:
+    """One Java regex that finds every token a family could print (a superset)."""
+    import re as _re
+
+    alts = []
+    for fam in families:
+        kind, body = fam[:2], fam[2:]
+        if kind == "N:":
+            alts.append("[0-9]+".join(_re.escape(p) for p in body.split("{index}")))
+        elif kind == "E:":
+            alts.append("USER_[A-Z]+@domain\\.tld")
+        else:
+            alts.append(_re.escape(body) + "(?:_[0-9]+)?")
+    alts.sort(key=len, reverse=True)
+    return "(?=(" + "|".join(alts) + "))" if alts else "(?!)"
+
+
+def fold_replace(text: Column, pairs: Column) -> Column:
+    """Literal replacement of each (token → value) pair in order (longest first)."""
+    return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["find"], p["put"]))
+
+
+def _apply_pairs(df: DataFrame, key_cols: list[str], text_col: str, hit: Column, per_row: DataFrame) -> DataFrame:
+    """Rows with ``hit`` get their sorted (find, put) pairs by key and are folded;
+    all other rows pass through without a shuffle."""
+    empty = F.array().cast(per_row.schema["_pairs"].dataType)
+    with_hits = (
+        df.filter(hit)
+        .join(per_row, key_cols, "left")
+        .withColumn(text_col, fold_replace(F.col(text_col), F.coalesce(F.col("_pairs"), empty)))
+        .drop("_pairs")
+    )
+    return with_hits.unionByName(df.filter(~hit))
 
-    ``pairs``: array<struct<token, value>> already sorted by token length desc.
-    """
-    return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["token"], p["value"]))
 
+def restore(df: DataFrame, vault: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
+    """Tokens → values, longest token first, literal (no word boundary).
 
-def candidate_tokens(text: Column, token_regex: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(token_regex), 0))
+    Only the tokens a row can contain are looked up: every position where a
+    family's token shape starts (and each of its prefixes, since ``IP_1`` is
+    restored inside ``IP_10`` when ``IP_10`` is unknown) is joined to the vault
+    by (scope, token); the vault is never shipped whole to a row.  ``df`` needs a
+    ``scope`` column.
+    """
+    fams = [
+        r[0]
+        for r in vault.select("family").where(F.col("family").isNotNull()).distinct().limit(10_001).collect()
+    ]
+    if len(fams) > 10_000:
+        raise ValueError("too many token families for one shape regex")
+    rx = token_shape_regex(sorted(fams))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(rx), 1))
+    prefixes = F.array_distinct(
+        F.flatten(F.transform(found, lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: c.substr(F.lit(1), n))))
+    )
+    cand = df.select(*key_cols, "scope", F.explode_outer(prefixes).alias("token")).filter(F.col("token").isNotNull())
+    pairs = hot_split_join(cand, vault.select("scope", "token", "value"), ["scope", "token"])
+    per_row = pairs.groupBy(*key_cols).agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct((-F.length("token")).alias("nl"), "token", "value"))),
+            lambda p: F.struct(p["token"].alias("find"), p["value"].alias("put")),
+        ).alias("_pairs")
+    )
+    hit = F.coalesce(F.col(text_col).rlike(rx), F.lit(False))
+    return _apply_pairs(df, key_cols, text_col, hit, per_row)

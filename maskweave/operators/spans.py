@@ -38,32 +38,38 @@ def _empty(dtype) -> Column:
     return F.array().cast(T.ArrayType(dtype))
 
 
-def regex_matches_with_offsets(text: Column, regex: str) -> Column:
-    """array<struct<start,end,value>> of all matches of ``regex`` (0-based, code points)."""
-    m = F.regexp_extract_all(text, F.lit(regex), 0)
-    p0 = F.split(text, regex, -1)
+_STR_ARRAY = T.ArrayType(T.StringType())
+_OFFSETS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("start", T.IntegerType()),
+            T.StructField("end", T.IntegerType()),
+            T.StructField("value", T.StringType()),
+        ]
+    )
+)
+
+
+def offsets_from(m: Column, p0: Column) -> Column:
+    """Matches ``m`` (regexp_extract_all) + pieces ``p0`` (split) → array<start,end,value>.
+
+    Both inputs should be plain columns: they are read more than once.  The
+    lambdas only touch lambda variables (an outer expression referenced inside a
+    lambda is re-evaluated for every element).
+    """
     # java drops the leading empty piece only for a zero-width match at offset 0
     p = F.when(F.size(p0) == F.size(m), F.concat(F.array(F.lit("")), p0)).otherwise(p0)
-    out_t = T.ArrayType(
-        T.StructType(
-            [
-                T.StructField("start", T.IntegerType()),
-                T.StructField("end", T.IntegerType()),
-                T.StructField("value", T.StringType()),
-            ]
-        )
-    )
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(out_t).alias("out"))
+    pairs = F.zip_with(m, p, lambda mt, pc: F.struct(F.length(pc).alias("pl"), mt.alias("v")))
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast(_OFFSETS).alias("out"))
 
-    def step(acc, k):
-        st = acc["pos"] + F.length(F.get(p, k))
-        mt = F.get(m, k)
-        en = st + F.length(mt)
-        item = F.struct(st.cast("int").alias("start"), en.cast("int").alias("end"), mt.alias("value"))
-        return F.struct(en.alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def step(acc, x):
+        st = acc["pos"] + x["pl"]
+        en = st + F.coalesce(F.length(x["v"]), F.lit(0))
+        item = F.struct(st.cast("int").alias("start"), en.cast("int").alias("end"), x["v"].alias("value"))
+        out = F.when(x["v"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(item)))
+        return F.struct(en.alias("pos"), out.alias("out"))
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), init, step, lambda acc: acc["out"])
-    return F.when(F.size(m) > 0, folded).otherwise(F.array().cast(out_t))
+    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
 
 
 def _tag(prio: int, idx: int):
@@ -79,18 +85,27 @@ def _tag(prio: int, idx: int):
     return f
 
 
-def find_spans_col(text: Column, rules: RuleSet) -> Column:
-    """Every candidate match of every rule (zero-length matches dropped)."""
-    safe = F.coalesce(text, F.lit(""))
-    parts = []
+def with_candidates(df: DataFrame, text_col: str, rules: RuleSet, out: str = "_cand") -> DataFrame:
+    """Every candidate match of every rule (zero-length matches dropped).
+
+    Per rule a cheap ``rlike`` gate, then matches and pieces as their own
+    columns so each regex pass runs once per row.
+    """
+    safe = F.coalesce(F.col(text_col), F.lit(""))
+    tmp, parts = [], []
     for r in rules.rules:
-        hits = regex_matches_with_offsets(safe, r.regex)
-        spans = F.transform(hits, _tag(r.prio, r.idx))
-        parts.append(F.when(safe.rlike(r.regex), spans).otherwise(_empty(SPAN)))
+        mc, pc = f"_m{r.idx}_{out}", f"_p{r.idx}_{out}"
+        df = df.withColumn(
+            mc, F.when(safe.rlike(r.regex), F.regexp_extract_all(safe, F.lit(r.regex), 0)).otherwise(
+                F.array().cast(_STR_ARRAY))
+        )
+        df = df.withColumn(pc, F.when(F.size(mc) > 0, F.split(safe, r.regex, -1)).otherwise(F.array().cast(_STR_ARRAY)))
+        tmp += [mc, pc]
+        parts.append(F.transform(offsets_from(F.col(mc), F.col(pc)), _tag(r.prio, r.idx)))
     if not parts:
-        return _empty(SPAN)
+        return df.withColumn(out, F.array().cast(SPANS))
     allspans = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return F.filter(allspans, lambda s: s["end"] > s["start"])
+    return df.withColumn(out, F.filter(allspans, lambda s: s["end"] > s["start"])).drop(*tmp)
 
 
 def _by_start(spans: Column) -> Column:
@@ -104,42 +119,38 @@ def _by_start(spans: Column) -> Column:
     )
 
 
-def resolve_overlaps_col(cands: Column) -> Column:
+def with_resolved(df: DataFrame, cand_col: str, out: str) -> DataFrame:
     """Greedy acceptance by (priority, start); a rejected span blocks nothing.
 
     Fast path: when no two start-adjacent spans overlap, nothing overlaps at all
     and every candidate is kept (one linear check).  Otherwise a fold in priority
     order keeps a span only if it overlaps no kept span.
     """
-    ordered = _by_start(cands)
+    oc = f"_ord_{out}"
+    df = df.withColumn(oc, _by_start(F.col(cand_col)))
+    ordered = F.col(oc)
     n = F.size(ordered)
-    clean = F.when(n < 2, F.lit(True)).otherwise(
-        F.forall(
-            F.sequence(F.lit(1), n - 1),
-            lambda i: F.get(ordered, i - 1)["end"] <= F.get(ordered, i)["start"],
-        )
-    )
+    k = F.greatest(n - 1, F.lit(0))
+    adjacent_ok = F.zip_with(F.slice(ordered, 1, k), F.slice(ordered, 2, k), lambda a, b: a["end"] <= b["start"])
+    clean = F.when(n < 2, F.lit(True)).otherwise(~F.array_contains(adjacent_ok, False))
     greedy = F.aggregate(
-        F.sort_array(cands),
-        _empty(SPAN),
+        F.sort_array(F.col(cand_col)),
+        F.array().cast(SPANS),
         lambda acc, x: F.when(
             F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"])), acc
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return F.when(clean, ordered).otherwise(_by_start(greedy))
-
-
-def detect_col(text: Column, rules: RuleSet) -> Column:
-    """Accepted spans of a text, in start order."""
-    return resolve_overlaps_col(find_spans_col(text, rules))
+    return df.withColumn(out, F.when(clean, ordered).otherwise(_by_start(greedy))).drop(oc)
 
 
 def find_spans(df: DataFrame, text_col: str, rules: RuleSet, out: str = "spans") -> DataFrame:
-    return df.withColumn(out, find_spans_col(F.col(text_col), rules))
+    return with_candidates(df, text_col, rules, out)
 
 
 def detect(df: DataFrame, text_col: str, rules: RuleSet, out: str = "spans") -> DataFrame:
-    return df.withColumn(out, detect_col(F.col(text_col), rules))
+    """Accepted spans of a text, in start order (array<start,end,rule,value>)."""
+    cand = f"_cand_{out}"
+    return with_resolved(with_candidates(df, text_col, rules, cand), cand, out).drop(cand)
 
 
 def rule_lookup(rules: RuleSet, what: str) -> Column:
@@ -154,7 +165,7 @@ def explode_spans(df: DataFrame, spans_col: str, rules: RuleSet, keep: list[str]
     """One row per accepted span with its rule's pattern and template."""
     pats = rule_lookup(rules, "pattern")
     tmpl = rule_lookup(rules, "replacement")
-    ex = df.select(*keep, F.posexplode(spans_col).alias("span_no", "s"))
+    ex = df.select(*keep, F.posexplode_outer(spans_col).alias("span_no", "s")).filter(F.col("s").isNotNull())
     return ex.select(
         *keep,
         "span_no",
