@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from maskweave.plans import core
+from maskweave.plans import core, scans
 
 REGISTRY: dict = {}
-for _mod in (core,):
+for _mod in (core, scans):
     REGISTRY.update(_mod.QUERIES)
 
 
