@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from maskweave.plans import core, scans
+from maskweave.plans import core, iac, scans
 
 REGISTRY: dict = {}
-for _mod in (core, scans):
+for _mod in (core, scans, iac):
     REGISTRY.update(_mod.QUERIES)
 
 
