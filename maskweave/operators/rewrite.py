@@ -54,20 +54,29 @@ def splice(text: Column, repl: Column) -> Column:
     return F.when(text.isNull(), text).when(F.coalesce(n, F.lit(0)) == 0, text).otherwise(spliced)
 
 
+def detect_rows(base: DataFrame, text_cols: list[str], rules: RuleSet) -> DataFrame:
+    """Adds ``_spans{i}`` per text column; persisted by the caller so the rule
+    regexes run exactly once per text (allocation, token join and rewrite all
+    read the same detected rows)."""
+    out = base
+    for col_no, c in enumerate(text_cols):
+        out = detect(out, c, rules, f"_spans{col_no}")
+    return out
+
+
 def span_occurrences(
-    base: DataFrame, key_cols: list[str], order_cols: list[str], text_cols: list[str], rules: RuleSet
+    detected: DataFrame, key_cols: list[str], order_cols: list[str], text_cols: list[str], rules: RuleSet
 ) -> DataFrame:
     """One row per accepted span: keys, scope, col_no, start, end, rule, value, template, ord.
 
-    ``explode`` drops rows without spans, so detection runs once per text.
+    explode_outer + null filter: a plain ``explode`` would make the optimizer
+    infer ``size(spans) > 0`` and push it below the generator.
     """
     tmpl = rule_lookup(rules, "replacement")
     parts = []
-    for col_no, c in enumerate(text_cols):
-        found = detect(base.select(*key_cols, "scope", *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order_cols)],
-                                   F.col(c).alias("_text")), "_text", rules, "_spans")
-        ex = found.select(*key_cols, "scope", *[f"_o{i}" for i in range(len(order_cols))],
-                          F.explode_outer("_spans").alias("s")).filter(F.col("s").isNotNull())
+    for col_no, _c in enumerate(text_cols):
+        ex = detected.select(*key_cols, "scope", *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order_cols)],
+                             F.explode_outer(f"_spans{col_no}").alias("s")).filter(F.col("s").isNotNull())
         parts.append(
             ex.select(
                 *key_cols,
@@ -126,8 +135,8 @@ def anonymize(
     scope_col = scope if isinstance(scope, Column) else F.lit(scope)
     base = df.withColumn("scope", scope_col)
 
-    # spans only (no text): read by allocation and by the token join
-    occ = span_occurrences(base, key_cols, order_cols, text_cols, rules).persist(StorageLevel.MEMORY_AND_DISK)
+    detected = detect_rows(base, text_cols, rules).persist(StorageLevel.MEMORY_AND_DISK)
+    occ = span_occurrences(detected, key_cols, order_cols, text_cols, rules)
     if token_guard:
         prior_tokens = vault.select("scope", F.col("token").alias("value"))
         occ = occ.join(prior_tokens, ["scope", "value"], "left_anti")
@@ -151,12 +160,13 @@ def anonymize(
         ).alias("_repl")
     )
 
+    # only rows with spans meet the per-row token lists; the rest pass through
     hit_filter = F.lit(False)
-    combined = rules.combined_regex()
-    for c in text_cols:
-        hit_filter = hit_filter | F.coalesce(F.col(c).rlike(combined), F.lit(False))
-    with_hits = base.filter(hit_filter).join(per_row, key_cols, "left")
-    no_hits = base.filter(~hit_filter).withColumn("_repl", F.lit(None))
+    for col_no in range(len(text_cols)):
+        hit_filter = hit_filter | (F.size(f"_spans{col_no}") > 0)
+    spans_names = [f"_spans{i}" for i in range(len(text_cols))]
+    with_hits = detected.filter(hit_filter).drop(*spans_names).join(per_row, key_cols, "left")
+    no_hits = detected.filter(~hit_filter).drop(*spans_names).withColumn("_repl", F.lit(None))
 
     repl = F.coalesce(F.col("_repl"), F.array().cast(per_row.schema["_repl"].dataType))
 
@@ -252,7 +262,9 @@ def restore(df: DataFrame, vault: DataFrame, key_cols: list[str], text_col: str)
     prefixes = F.array_distinct(
         F.flatten(F.transform(found, lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: c.substr(F.lit(1), n))))
     )
-    cand = df.select(*key_cols, "scope", F.explode_outer(prefixes).alias("token")).filter(F.col("token").isNotNull())
+    # shapes found once per row, persisted: read by the token join and the rewrite
+    df = df.withColumn("_found", prefixes).persist(StorageLevel.MEMORY_AND_DISK)
+    cand = df.select(*key_cols, "scope", F.explode_outer("_found").alias("token")).filter(F.col("token").isNotNull())
     pairs = hot_split_join(cand, vault.select("scope", "token", "value"), ["scope", "token"])
     per_row = pairs.groupBy(*key_cols).agg(
         F.transform(
@@ -260,5 +272,5 @@ def restore(df: DataFrame, vault: DataFrame, key_cols: list[str], text_col: str)
             lambda p: F.struct(p["token"].alias("find"), p["value"].alias("put")),
         ).alias("_pairs")
     )
-    hit = F.coalesce(F.col(text_col).rlike(rx), F.lit(False))
-    return _apply_pairs(df, key_cols, text_col, hit, per_row)
+    hit = F.size("_found") > 0
+    return _apply_pairs(df, key_cols, text_col, hit, per_row).drop("_found")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from maskweave.plans import core, iac, scans
+from maskweave.plans import core, iac, rules_plans, scans
 
 REGISTRY: dict = {}
-for _mod in (core, scans, iac):
+for _mod in (core, scans, iac, rules_plans):
     REGISTRY.update(_mod.QUERIES)
 
 
