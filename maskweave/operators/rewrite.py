@@ -274,3 +274,39 @@ def restore(df: DataFrame, vault: DataFrame, key_cols: list[str], text_col: str)
     )
     hit = F.size("_found") > 0
     return _apply_pairs(df, key_cols, text_col, hit, per_row).drop("_found")
+
+
+def rules_fingerprint(rules: RuleSet) -> str:
+    """A stable fingerprint of the enabled rules (pattern, replacement, order)."""
+    import hashlib
+
+    body = "\u0000".join(f"{r.pattern}\u0001{r.replacement}" for r in rules.rules)
+    return hashlib.sha256(body.encode("utf-8")).hexdigest()
+
+
+def content_keys(df: DataFrame, key_cols: list[str], text_cols: list[str], fingerprint: str) -> DataFrame:
+    """(keys, content hash, rules fingerprint) of processed rows."""
+    h = F.sha2(F.concat_ws("\u0000", *[F.coalesce(F.col(c), F.lit("\u0002")) for c in text_cols]), 256)
+    return df.select(*key_cols, h.alias("content_hash"), F.lit(fingerprint).alias("rules_fp"))
+
+
+def changed_rows(df: DataFrame, done: DataFrame, key_cols: list[str], text_cols: list[str], fingerprint: str) -> DataFrame:
+    """Only rows whose (content hash, rules fingerprint) is not in ``done``."""
+    keyed = df.join(content_keys(df, key_cols, text_cols, fingerprint), key_cols)
+    return keyed.join(done, [*key_cols, "content_hash", "rules_fp"], "left_anti").drop("content_hash", "rules_fp")
+
+
+def quarantine(df: DataFrame, text_col: str, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows that may go on, rejected rows with a reason) – nothing passes raw
+    when it cannot be handled."""
+    reason = F.when(F.col(text_col).isNull(), F.lit("null text"))
+    if max_chars is not None:
+        reason = reason.when(F.length(text_col) > max_chars, F.lit("text too large"))
+    tagged = df.withColumn("reason", reason)
+    return tagged.filter(F.col("reason").isNull()).drop("reason"), tagged.filter(F.col("reason").isNotNull())
+
+
+def reject_unparsable_json(df: DataFrame, col: str) -> DataFrame:
+    """An anonymized payload must parse back, else the row is rejected (value nulled)."""
+    ok = F.try_parse_json(F.col(col)).isNotNull()
+    return df.withColumn("rejected", ~ok).withColumn(col, F.when(ok, F.col(col)))

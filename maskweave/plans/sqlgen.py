@@ -79,7 +79,7 @@ def token_expr(kind: str, body: str, n: str) -> str:
     )
 
 
-def chain_ctes(src_sql: str, rules_rows) -> str:
+def chain_ctes(src_sql: str, rules_rows, scoped: bool = False) -> str:
     """CTEs: src(k, o, text), rules, cand, acc(k, s, e, rule, v), firsts, vault(value, token, template, idx,
     o, s), tok(k, s, e, rule, v, token), rw(k, text, n)."""
     rules = oracle_rules(rules_rows)
@@ -88,12 +88,13 @@ src AS ({src_sql}),
 rules AS ({rules_values(rules)}),
 cand AS ({candidates_sql('src', rules)}),
 acc AS ({accepted_sql('cand')}),
-occ AS (SELECT acc.*, src.o, rules.template, rules.family, rules.kind, rules.body
+occ AS (SELECT acc.*, src.o, {"src.scope," if scoped else "'' AS scope,"} rules.template, rules.family, rules.kind, rules.body
         FROM acc JOIN src USING (k) JOIN rules USING (rule)),
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY o, -s) AS rn FROM occ) WHERE rn = 1),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY o, -s) AS n FROM firsts),
-vault AS (SELECT v AS value, {token_expr('kind', 'body', 'n')} AS token, template, n AS idx, o, s FROM ranked),
-tok AS (SELECT occ.k, occ.s, occ.e, occ.rule, occ.v, vault.token FROM occ JOIN vault ON occ.v = vault.value),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, v ORDER BY o, -s) AS rn FROM occ) WHERE rn = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY scope, family ORDER BY o, -s) AS n FROM firsts),
+vault AS (SELECT scope, v AS value, {token_expr('kind', 'body', 'n')} AS token, template, n AS idx, o, s FROM ranked),
+tok AS (SELECT occ.k, occ.s, occ.e, occ.rule, occ.v, vault.token FROM occ JOIN vault ON occ.v = vault.value
+        AND occ.scope = vault.scope),
 pieces AS (SELECT tok.*, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s), 0) AS pe,
                   max(e) OVER (PARTITION BY k) AS last_e FROM tok),
 rw AS (SELECT p.k, string_agg(substr(src.text, p.pe + 1, p.s - p.pe) || p.token, '' ORDER BY p.s)
