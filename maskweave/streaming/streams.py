@@ -22,7 +22,8 @@ def sessions(df: DataFrame, user_col: str, ts_col: str, gap_seconds: int) -> Dat
     the gap to the previous event exceeds ``gap_seconds``)."""
     w = Window.partitionBy(user_col).orderBy(ts_col, *[c for c in df.columns if c.endswith("_id") and c != user_col][:1])
     prev = F.lag(ts_col).over(w)
-    new = F.when(prev.isNull() | ((F.unix_micros(F.col(ts_col)) - F.unix_micros(prev)) > gap_seconds * 1_000_000), 1).otherwise(0)
+    cur_us, prev_us = F.unix_micros(F.col(ts_col).cast("timestamp")), F.unix_micros(prev.cast("timestamp"))
+    new = F.when(prev.isNull() | ((cur_us - prev_us) > gap_seconds * 1_000_000), 1).otherwise(0)
     out = df.withColumn("_new", new).withColumn("_sess", F.sum("_new").over(w))
     return out.withColumn("session_scope", F.concat(F.col(user_col).cast("string"), F.lit(":"), F.col("_sess").cast("string"))) \
         .drop("_new", "_sess")
@@ -47,8 +48,15 @@ def windowed_match_stats_stream(sdf: DataFrame, ts_col: str, text_col: str, rule
 
 
 def _read_stream(spark: SparkSession, path: str):
+    """A file path streams its folder filtered to that file name; a folder streams all parquet files."""
+    import os
+
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    if path.endswith(".parquet"):
+        reader = reader.option("pathGlobFilter", os.path.basename(path))
+        path = os.path.dirname(path)
+    return reader.parquet(path)
 
 
 def stream_scan(spark: SparkSession, path: str, key: str, text_col: str, ckpt: str) -> DataFrame:
