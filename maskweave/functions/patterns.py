@@ -25,6 +25,85 @@ NOT_WORD_BOUNDARY = f"(?:(?<=[{JS_WORD}])(?=[{JS_WORD}])|(?<![{JS_WORD}])(?![{JS
 _QUANT_BRACE = re.compile(r"\{\d+(?:,\d*)?\}")
 
 
+_WORD_ONLY_CLASS = re.compile(r"\[(?!\^)((?:[A-Za-z0-9_]-[A-Za-z0-9_]|[A-Za-z0-9_]|\\d|\\w)+)\]")
+
+
+def _atom_word_only(src: str, i: int) -> tuple[bool, int]:
+    """Does the JS atom at ``i`` match only ASCII word characters?  Returns (yes, end)."""
+    if i >= len(src):
+        return False, i
+    ch = src[i]
+    if ch == "\\" and i + 1 < len(src):
+        return src[i + 1] in "dw", i + 2
+    if ch == "[":
+        m = _WORD_ONLY_CLASS.match(src, i)
+        if m:
+            return True, m.end()
+        return False, i
+    if ch.isascii() and (ch.isalnum() or ch == "_"):
+        return True, i + 1
+    return False, i
+
+
+_ENDS_WORD_ONLY = re.compile(
+    r"(?:\\[dw]|\[(?!\^)(?:[A-Za-z0-9_]-[A-Za-z0-9_]|[A-Za-z0-9_]|\\[dw])+\]|(?<!\\)[A-Za-z0-9_])"
+    r"(?:(?:\+|\{[1-9]\d*(?:,\d*)?\})\??)?$"
+)
+
+
+def _split_top(body: str) -> list[str]:
+    parts, depth, cur, i = [], 0, "", 0
+    in_class = False
+    while i < len(body):
+        c = body[i]
+        if c == "\\":
+            cur += body[i : i + 2]
+            i += 2
+            continue
+        if in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and depth == 0:
+            parts.append(cur)
+            cur = ""
+            i += 1
+            continue
+        cur += c
+        i += 1
+    parts.append(cur)
+    return parts
+
+
+def _starts_word_only(src: str, i: int) -> bool:
+    """Every match of ``src[i:]`` begins with an ASCII word character (conservative)."""
+    if src.startswith("(?:", i) or (i < len(src) and src[i] == "(" and not src.startswith("(?", i)):
+        start = i + (3 if src.startswith("(?:", i) else 1)
+        depth, j = 1, start
+        while j < len(src) and depth:
+            if src[j] == "\\":
+                j += 2
+                continue
+            depth += {"(": 1, ")": -1}.get(src[j], 0)
+            j += 1
+        if depth:
+            return False
+        after = src[j : j + 1]
+        if after in ("?", "*") or src.startswith("{0", j):
+            return False
+        return all(alt and _starts_word_only(alt, 0) for alt in _split_top(src[start : j - 1]))
+    ok, end = _atom_word_only(src, i)
+    if not ok:
+        return False
+    nxt = src[end : end + 1]
+    return not (nxt in ("?", "*") or src.startswith("{0", end))
+
+
+
 class PatternError(ValueError):
     """The pattern is not a valid JavaScript regular expression (as far as we translate)."""
 
@@ -101,7 +180,14 @@ def js_to_java(src: str, flags: str = "") -> str:
             elif c == "S":
                 out.append(f"[^{JS_SPACE_SET}]")
             elif c == "b":
-                out.append("\\x08" if in_class else WORD_BOUNDARY)
+                if in_class:
+                    out.append("\\x08")
+                elif _starts_word_only(src, i):
+                    out.append(f"(?<![{JS_WORD}])")
+                elif _ENDS_WORD_ONLY.search(src[: i - 2]):
+                    out.append(f"(?![{JS_WORD}])")
+                else:
+                    out.append(WORD_BOUNDARY)
             elif c == "B":
                 out.append("B" if in_class else NOT_WORD_BOUNDARY)
             elif c == "v":
