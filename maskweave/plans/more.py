@@ -289,6 +289,31 @@ def o_attach_files():
 FROM ({CONV_SELECT}) c LEFT JOIN documents d ON d.doc_id = c.conv_id WHERE c.turn = 0"""
 
 
+PARTS_SELECT = """
+SELECT conv_id, turn,
+  CASE role WHEN 'system' THEN 'binary' WHEN 'assistant' THEN 'tool_call' ELSE 'text' END AS part_kind,
+  CASE role WHEN 'assistant' THEN concat('{"turn": ', cast(turn AS string), ', "host": "10.1.', cast(turn AS string), '.',
+                                        cast(conv_id % 200 AS string), '", "to": "ops', cast(conv_id % 9 AS string),
+                                        '@corp.example.com"}')
+            ELSE concat(text, ' from 10.1.', cast(turn AS string), '.', cast(conv_id % 200 AS string)) END AS payload
+FROM conversations"""
+
+
+def q_anonymize_parts(spark, sf_dir):
+    register(spark, sf_dir, "conversations")
+    out = cv.anonymize_parts(spark.sql(PARTS_SELECT), ruleset(spark, CORE_RULES))
+    return out.select("conv_id", "turn", "part_kind", "payload", "rejected")
+
+
+def o_anonymize_parts():
+    src = f"SELECT conv_id * 1000 + turn AS k, conv_id * 1000 + turn AS o, payload AS text FROM ({PARTS_SELECT}) WHERE part_kind <> 'binary'"
+    return f"""WITH {chain_ctes(src, CORE_RULES)},
+p AS (SELECT c.conv_id, c.turn, c.part_kind, CASE WHEN c.part_kind = 'binary' THEN c.payload ELSE coalesce(rw.text, c.payload) END AS payload
+      FROM ({PARTS_SELECT}) c LEFT JOIN rw ON c.conv_id * 1000 + c.turn = rw.k)
+SELECT conv_id, turn, part_kind, CASE WHEN part_kind = 'tool_call' AND NOT json_valid(payload) THEN NULL ELSE payload END AS payload,
+       part_kind = 'tool_call' AND NOT json_valid(payload) AS rejected FROM p"""
+
+
 # ----------------------------------------------------------- time and streams
 
 EVENT_TEXT = ("concat(event_type, ' from 10.0.', cast(user_id % 7 AS string), '.', cast(event_id % 5 AS string), "
@@ -369,6 +394,7 @@ QUERIES = {
     "anonymize_conversations": (q_anonymize_conversations, o_anonymize_conversations),
     "assemble_transcript": (q_assemble_transcript, o_assemble_transcript),
     "attach_files": (q_attach_files, o_attach_files),
+    "anonymize_parts": (q_anonymize_parts, o_anonymize_parts),
     "session_tokens": (q_session_tokens, o_session_tokens),
     "windowed_match_stats": (q_windowed_match_stats, o_windowed_match_stats),
     "stream_scan": (q_stream_scan, o_stream_scan),
