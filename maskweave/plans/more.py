@@ -379,7 +379,39 @@ SELECT d.doc_id, coalesce(rw.text, d.text) AS text, CAST(coalesce(rw.n, 0) AS BI
 FROM documents d LEFT JOIN rw ON d.doc_id = rw.k"""
 
 
+def q_read_texts(spark, sf_dir):
+    from maskweave.sources.files import read_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = _scratch(spark, "texts")
+    # one text file per document (the folder name carries the id)
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(out)
+    files = read_texts(spark, out, "*.txt")
+    return files.select(F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), "extension",
+                        F.length("content").cast("long").alias("n_chars"))
+
+
+def o_read_texts():
+    # the text writer ends each file with a line separator
+    return "SELECT doc_id, '.txt' AS extension, CAST(length(text) + 1 AS BIGINT) AS n_chars FROM documents WHERE text IS NOT NULL"
+
+
+def q_write_restored(spark, sf_dir):
+    from maskweave.sources.files import write_restored
+
+    res = _anon_docs(spark, sf_dir)
+    out = _scratch(spark, "restored")
+    write_restored(res.df.select("doc_id", F.lit("default").alias("scope"), "text"), res.vault, ["doc_id"], "text", out)
+    return spark.read.parquet(out).select("doc_id", "text")
+
+
+def o_write_restored():
+    return "SELECT doc_id, text FROM documents"
+
+
 QUERIES = {
+    "read_texts": (q_read_texts, o_read_texts),
+    "write_restored": (q_write_restored, o_write_restored),
     "vault_roundtrip": (q_vault_roundtrip, o_vault_roundtrip),
     "store_mappings": (q_store_mappings, o_store_mappings),
     "clear_scope": (q_clear_scope, o_clear_scope),
