@@ -96,15 +96,16 @@ def fingerprint_documents(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     ids = texts.groupBy("k").agg(F.max(F.length("text")).alias("n"), F.min(F.xxhash64("text")).alias("pick"))
     ids = cut(ids.withColumn("id", F.when(F.col("k") != "", F.col("k").cast("long"))), "sketch-ids")
     ring = cut(neighbours(ids).join(ids.select("k", "pick"), "k"), "sketch-links")
-    # both joins below read the same columns by the same key, so texts move once
-    sketched = with_sketch(texts, F.col("text"), "kept", scale)
+    # both joins read the same two columns by the same key, so texts move once; sketches are made after the move
+    sent = texts.join(ring.select("k", "prev_k", "prev_n", "pick"), "k").filter(F.xxhash64("text") == F.col("pick"))
     heads = (
-        sketched.join(ring.select("k", "prev_k", "prev_n", "pick"), "k").filter(F.xxhash64("text") == F.col("pick"))
-        .select(F.col("prev_k").alias("k"), F.expr("substring(text, 1, cast(prev_n DIV 2 as int))").alias("head"), F.col("kept").alias("next_kept"))
+        with_sketch(sent, F.col("text"), "next_kept", scale)
+        .select(F.col("prev_k").alias("k"), F.expr("substring(text, 1, cast(prev_n DIV 2 as int))").alias("head"), "next_kept")
         .groupBy("k").agg(F.first("head").alias("head"), F.first("next_kept").alias("next_kept"))
     )
     edited = (
-        sketched.join(heads, "k").withColumn("n", F.length("text")).withColumn("half", F.expr("n DIV 2"))
+        with_sketch(texts.join(heads, "k"), F.col("text"), "kept", scale)
+        .withColumn("n", F.length("text")).withColumn("half", F.expr("n DIV 2"))
         .withColumn("edited", F.expr("concat(substring(text, 1, cast(n - half as int)), substring(head, 1, cast(half as int)))"))
         .select("k", F.col("n").cast("long").alias("n_chars"), "kept", "next_kept", "edited")
     )
