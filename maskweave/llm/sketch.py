@@ -97,7 +97,9 @@ def fingerprint_documents(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     ids = cut(ids.withColumn("id", F.when(F.col("k") != "", F.col("k").cast("long"))), "sketch-ids")
     ring = cut(neighbours(ids).join(ids.select("k", "pick"), "k"), "sketch-links")
     # both joins read the same two columns by the same key, so texts move once; sketches are made after the move
-    sent = texts.join(ring.select("k", "prev_k", "prev_n", "pick"), "k").filter(F.xxhash64("text") == F.col("pick"))
+    # (an equality here would become a second join key and part the two moves; so the row's hash is compared by xor)
+    chosen = F.xxhash64("text").bitwiseXOR(F.col("pick")) == 0
+    sent = texts.join(ring.select("k", "prev_k", "prev_n", "pick"), "k").filter(chosen)
     heads = (
         with_sketch(sent, F.col("text"), "next_kept", scale)
         .select(F.col("prev_k").alias("k"), F.expr("substring(text, 1, cast(prev_n DIV 2 as int))").alias("head"), "next_kept")
