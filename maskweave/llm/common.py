@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
     for b in batches:
         if not b.num_rows:
             continue
-        sizes = pa.compute.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         group = (np.cumsum(sizes, dtype=np.int64) - sizes) // limit
         ends = [*(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
         at = 0
@@ -79,3 +80,65 @@ def crc32_of_id(col: str = "doc_id") -> Column:
 def held_out(col: str = "doc_id") -> Column:
     """True for the fifth of the documents from which nothing is learned."""
     return F.pmod(crc32_of_id(col), F.lit(5)) == 0
+
+
+#: By byte: is it a blank of the contract's words; its lower case (A-Z only).
+IS_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LOWER_BYTE = np.arange(256, dtype=np.uint8)
+LOWER_BYTE[65:91] += 32
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    have = _POWERS.get(str(base))
+    if have is None or len(have) < n:
+        have = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 16), base)]), dtype=np.uint64)
+        _POWERS[str(base)] = have
+    return have[:n]
+
+
+def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word, words before each text) of texts that lie one after another.
+
+    Words are runs without blanks, in lower case (A-Z).  A word's hash is a difference of
+    running sums of byte value times power of an odd base, shifted back to its start.
+    """
+    blank = IS_BLANK[flat]
+    edge = np.ones(len(flat) + 1, bool)
+    edge[1:-1] = blank[:-1]
+    edge[offsets] = True  # a text starts a word of its own
+    starts = np.flatnonzero(edge[:-1] & ~blank)
+    stop = np.ones(len(flat) + 1, bool)
+    stop[:-1] = blank
+    stop[offsets] = True
+    stops = np.flatnonzero(stop)
+    ends = stops[np.searchsorted(stops, starts, side="right")] if len(starts) else starts
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[LOWER_BYTE[flat]] * _powers(_BASE, len(flat)), out=sums[1:])
+    hashes = mix64((sums[ends] - sums[starts]) * _powers(_INVERSE, len(flat) + 1)[starts] + (ends - starts).astype(np.uint64))
+    return hashes, np.searchsorted(starts, offsets)
+
+
+def shingle_hashes(hashes: np.ndarray, before: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingle hashes, sorted within each text; shingles before each text).
+
+    A text with fewer than ``size`` words has one shingle, all its words; without words, none.
+    """
+    counts = np.diff(before)
+    text = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(hashes)) - before[:-1][text] if len(counts) else np.zeros(0, np.int64)
+    value = np.zeros(len(hashes), np.uint64)
+    for j in range(size):  # words past a short text's end add nothing
+        there = np.flatnonzero(place + j < counts[text])
+        value[there] += mix64(hashes[there + j] + np.uint64(j + 1)) * _powers(_BASE, size + 1)[j]
+    keep = (place == 0) | (place + size <= counts[text])
+    value, text = mix64(value[keep]), text[keep]
+    order = np.lexsort((value, text))
+    value, text = value[order], text[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
+    value, text = value[new], text[new]
+    return value, np.searchsorted(text, np.arange(len(counts) + 1))

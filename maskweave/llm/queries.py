@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskweave.llm import langid_cnn, quality_gam
 from maskweave.llm.common import table
 from maskweave.llm.license_templates import scan_licenses
 from maskweave.llm.mixing import plan_mix
@@ -23,9 +24,19 @@ def op3_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_gam.score_quality(docs, quality_gam.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid_cnn.identify(docs, langid_cnn.fit(docs))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_threshold_sketch, op3_license_templates)
+    for f in (op1_mix_sources, op2_threshold_sketch, op3_license_templates, op4_quality_gam, op5_langid_cnn)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
