@@ -9,6 +9,7 @@ from maskweave.llm import langid_cnn, quality_gam
 from maskweave.llm.common import table
 from maskweave.llm.license_templates import scan_licenses
 from maskweave.llm.mixing import plan_mix
+from maskweave.llm.pii_bootstrap import find_personal_data
 from maskweave.llm.sketch import fingerprint_documents
 
 
@@ -34,9 +35,13 @@ def op5_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_cnn.identify(docs, langid_cnn.fit(docs))
 
 
+def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_threshold_sketch, op3_license_templates, op4_quality_gam, op5_langid_cnn)
+    for f in (op1_mix_sources, op2_threshold_sketch, op3_license_templates, op4_quality_gam, op5_langid_cnn, op6_pii_bootstrap)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
