@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskweave.llm import langid_cnn, quality_gam
+from maskweave.llm.circulant_minhash import near_duplicates
 from maskweave.llm.common import table
 from maskweave.llm.license_templates import scan_licenses
 from maskweave.llm.mixing import plan_mix
@@ -39,9 +40,13 @@ def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_threshold_sketch, op3_license_templates, op4_quality_gam, op5_langid_cnn, op6_pii_bootstrap)
+    for f in (op1_mix_sources, op2_threshold_sketch, op3_license_templates, op4_quality_gam, op5_langid_cnn, op6_pii_bootstrap, op7_circulant_minhash)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
