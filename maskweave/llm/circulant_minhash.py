@@ -11,9 +11,13 @@ a band of ``ROWS`` coordinates are candidates; with 64 bands of 6 a pair of simi
 sets in three rounds: every class against the partner it shares most bands with among
 the smallest ids of its buckets; then against all those smallest ids; then all pairs
 of a bucket that are still in different components.  So every candidate pair is either
-verified or already connected by verified links, and near copies of one text need about
+decided or already connected by verified links, and near copies of one text need about
 one test each, not all their pairs.  Components of the verified links give the result.
 
+A pair is not verified where its parity bits rule it out: every shingle flips one of
+``PARITY`` bits of its set, so two sets differ in at least as many shingles as bits, and
+a pair whose bits differ too much cannot be similar enough.  That bound is exact.
+
 Defined results: texts without words are linked with nothing; rows that share a doc_id
 count as one document; a null doc_id counts as the largest one; an empty table gives an
 empty result; further columns are left out (``keep_one`` keeps them).
@@ -36,6 +40,7 @@ ROWS = 6
 UNIVERSE = 1 << 22
 SEED = 20
 CHUNK = 4096  # shingles whose coordinates are held at once
+PARITY = 1024
 NO_ID = 2**63 - 1
 
 
@@ -68,8 +73,26 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity_bits(shingles: np.ndarray, before: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    """texts × (bits / 64): one bit per residue of the hashes, set where an odd number of shingles has it."""
+    texts = len(before) - 1
+    place = np.repeat(np.arange(texts), np.diff(before)) * bits + ((shingles >> np.uint64(40)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(place, minlength=texts * bits) & 1).astype(np.uint8).reshape(texts, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+def may_be_similar(percent: int) -> str:
+    """SQL over sizes na, nb and parity words pa0, pb0 ...: the two sets may have the similarity.
+
+    A similarity of p percent leaves at most (100 - p) / (100 + p) of na + nb apart.
+    """
+    apart = " + ".join(f"bit_count(pa{i} ^ pb{i})" for i in range(PARITY // 64))
+    sizes = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    return f"{sizes} AND {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)"
+
+
 def measure(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: id, n (shingles), d1 and d2 (digest of the set), bands."""
+    """Per document: id, n (shingles), d1 and d2 (digest of the set), bits (parity), bands."""
     length = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +103,13 @@ def measure(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             digest = [(x[before[1:]] - x[before[:-1]]).view(np.int64) for x in sums]
             keys = band_keys(signatures(s, before, permuted, length), bands, rows)
             keys = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(before).astype(np.int64)), *map(pa.array, digest), keys], ["id", "n", "d1", "d2", "bands"])
+            parity = parity_bits(s, before)
+            parity = pa.ListArray.from_arrays(np.arange(0, parity.size + 1, PARITY // 64, dtype=np.int32), pa.array(parity.ravel()))
+            columns = [b.column("id"), pa.array(np.diff(before).astype(np.int64)), *map(pa.array, digest), parity, keys]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "bits", "bands"])
 
     ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), "text")
-    return ids.mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<long>")
+    return ids.mapInArrow(run, "id long, n long, d1 long, d2 long, bits array<long>, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
@@ -117,23 +143,26 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     # the bands of one class are equal, so any of its rows has them
     classes = measured.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     classes = cut(classes, "dup-classes")
-    heads = measured.filter("n > 0").join(classes, ["d1", "d2", "n"]).filter("id = rep").select("rep", "n", "bands")
-    members = cut(heads.dropDuplicates(["rep", "n"]).select(F.col("rep").alias("id"), "n", F.explode("bands").alias("band")), "dup-members")
+    heads = measured.filter("n > 0").join(classes, ["d1", "d2", "n"]).filter("id = rep").dropDuplicates(["id", "n", "d1"])
+    members = cut(heads.select("id", F.explode("bands").alias("band")), "dup-members")
     buckets = members.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").drop("last")
     # only classes in a bucket with others go on
     shared = cut(members.join(buckets, "band"), "dup-shared")
-    sizes_fit = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    hub_n = shared.filter("id = hub").groupBy("hub").agg(F.max("n").alias("hub_n"))
-    stars = shared.filter("id <> hub").groupBy("id", "hub").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("together"))
-    stars = stars.join(hub_n, "hub").filter(sizes_fit(F.col("n"), F.col("hub_n"))).select("id", "hub", "together")
-    stars = cut(stars, "dup-stars")
+    parts = range(PARITY // 64)
+    traits = heads.join(shared.select("id").distinct(), "id").select("id", "n", *[F.col("bits")[i].alias(f"p{i}") for i in parts])
+    traits = cut(traits, "dup-traits")
+    named = lambda x: [F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"p{i}").alias(f"p{x}{i}") for i in parts]]
+    of = lambda x: traits.select(*named(x))
+    similar = F.expr(may_be_similar(percent))
+    stars = shared.filter("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("together"))
+    stars = cut(stars.join(of("b"), "b").join(of("a"), "a").filter(similar).select("a", "b", "together").distinct(), "dup-stars")
     wanted = shared.select("id").distinct()
     own = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), "text").filter("text IS NOT NULL")
     texts = cut(own.join(wanted, "id", "left_semi"), "dup-texts")
 
-    best = stars.groupBy("id").agg(F.max_by("hub", F.struct("together", -F.col("hub"))).alias("hub"))
-    links = cut(verify(best.select(F.col("hub").alias("a"), F.col("id").alias("b")), texts, percent), "dup-links")
-    tested = cut(best.select(F.col("hub").alias("a"), F.col("id").alias("b")), "dup-tested")
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("together", -F.col("a"))).alias("a")).select("a", "b")
+    tested = cut(best, "dup-tested")
+    links = cut(verify(tested, texts, percent), "dup-links")
 
     def root_of(roots: DataFrame, df: DataFrame, column: str, out: str) -> DataFrame:
         named = roots.select(F.col("id").alias(column), F.col("root").alias("_root"))
@@ -142,14 +171,13 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     for ends in ("hubs", "all"):
         roots = cut(components(links), "dup-roots")
         if ends == "hubs":
-            pairs = root_of(roots, root_of(roots, stars, "id", "ra"), "hub", "rb").filter("ra <> rb").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+            pairs = root_of(roots, root_of(roots, stars, "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b")
         else:
-            rooted = root_of(roots, shared.select("band", "id", "n"), "id", "root")
+            rooted = root_of(roots, shared.select("band", "id"), "id", "root")
             mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-            rooted = cut(rooted.join(mixed, "band"), "dup-mixed")
-            left = rooted.select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            right = rooted.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sizes_fit(F.col("na"), F.col("nb"))).select("a", "b")
+            rooted = cut(rooted.join(mixed, "band").join(traits, "id"), "dup-mixed")
+            side = lambda x: rooted.select("band", F.col("root").alias(f"r{x}"), *named(x))
+            pairs = side("a").join(side("b"), "band").filter((F.col("ra") < F.col("rb")) & similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "dup-pairs")
         links = cut(links.unionByName(verify(pairs, texts, percent)), "dup-links")
         tested = tested.unionByName(pairs)
