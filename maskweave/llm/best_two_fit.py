@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import cut, steps
-from maskweave.llm.encoding import Encoder, vocabulary
+from maskweave.llm.encoding import encoder, vocabulary
 from maskweave.operators.joins import two_level_rank
 
 CAPACITY = 2048
@@ -37,9 +37,9 @@ def pieces_of(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
     """Per piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(tokenizer), keeps_blanks=True)
+        words = encoder(vocabulary(tokenizer), True)
         for b in steps(batches):
-            ids, before = encoder.encode(b.column("text"))
+            ids, before = words.encode(b.column("text"))
             rows = []
             for i in range(b.num_rows):
                 own = np.append(ids[before[i] : before[i + 1]], np.uint32(end)).astype("<u4")

@@ -13,13 +13,16 @@ from __future__ import annotations
 
 import gc
 import re
-from itertools import chain
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_PIECES = 1_000_000
+#: Pieces, and words in them, whose ids a worker keeps.
+MAX_PIECES = 600_000
+MAX_WORDS = 600_000
 #: White space as any of the libraries' expressions has it, for the regular expressions of Arrow.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 UNSAFE = f"{SPACE} | {SPACE}"
@@ -40,10 +43,16 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(all ids, number of each list)."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, number of ids of each part); a part is its ids as 32-bit values."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    return np.frombuffer(b"".join(parts), np.uint32), sizes
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, keeps_blanks: bool) -> "Encoder":
+    """The encoder of this Python worker; its cache serves all tasks that the worker runs."""
+    return Encoder(path, keeps_blanks)
 
 
 class Encoder:
@@ -55,20 +64,22 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.lead = " " if keeps_blanks else ""
+        self.words: dict[str, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}  # of pieces after a blank
-        self.words: dict[str, list[int]] = {}
-        self.tails: dict[str, list[int]] = {}
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        self.tails: dict[str, bytes] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._add([""])
 
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _word(self, word: str) -> list[int] | None:
+    def _word(self, word: str) -> bytes | None:
         """The ids of letters after a blank; None where the library does not see one pre-token."""
         if word.isascii():
             form = "\u0120" + word if self.lead else word.lower()  # U+0120 is the byte-level form of a blank
@@ -80,7 +91,7 @@ class Encoder:
             if len(forms) != 1:
                 return None
             form = forms[0][0]
-        return [t.id for t in self.model.tokenize(form)]
+        return array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
 
     def _add(self, pieces: list[str]) -> None:
         got: list = []
@@ -97,7 +108,7 @@ class Encoder:
                 whole.append(i)
             elif m[2] and m[2] not in self.tails:
                 tails.append(m[2])
-                self.tails[m[2]] = []
+                self.tails[m[2]] = b""
             got.append(ids if ids is None or not m[2] else (ids, m[2]))
         self.tails.update(zip(tails, self._encode(tails)))
         for i, ids in zip(whole, self._encode([self.lead + pieces[i] for i in whole])):

@@ -4,7 +4,8 @@ Documents are put in ascending order of doc_id over the shards; a shard's ids (e
 document's ids and the end id) are cut at documents into blocks of about ``BLOCK_IDS`` ids.
 In a block, frequent pairs of neighbouring symbols are replaced by nonterminals again and
 again: a round counts all pairs, takes those that occur ``MIN_COUNT`` times or more, and
-replaces them from the left, never overlapping.  A pair that is replaced becomes a rule.
+replaces them from the left, never overlapping; it ends when there are none.  A pair that
+is replaced becomes a rule.
 A row of the files is a block: its shard and number, its documents and their numbers of
 ids, the rules, the expansion length of every rule, and the sequence of symbols, little
 endian.  A range of ids is decoded without the rest: running expansion lengths say where
@@ -29,26 +30,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import cut, steps
-from maskweave.llm.encoding import Encoder, ragged, vocabulary
+from maskweave.llm.encoding import encoder, ragged, vocabulary
 from maskweave.session import checkpoint_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 TERMINALS = 1 << 16  # symbols from here on are nonterminals
 BLOCK_IDS = 1_000_000
-MIN_COUNT = 64
-ROUNDS = 6
+MIN_COUNT = 16
 BUCKETS = 1 << 18
 BLOCK = "shard int, block int, doc_ids array<long>, sizes array<int>, rules binary, lengths binary, symbols binary"
 
 
-def compress(ids: np.ndarray, min_count: int = MIN_COUNT, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules as pairs of symbols, expansion length of each rule, symbols) of a block of ids."""
     symbols, rules, lengths = ids.astype(np.uint32), [], []
     known = np.zeros(0, np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         pair = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
         often = np.bincount(bucket, minlength=BUCKETS) >= min_count  # no pair outside can be frequent
@@ -109,7 +107,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = Encoder(vocabulary(tokenizer), keeps_blanks=False)
+        words = encoder(vocabulary(tokenizer), False)
         held, names, sizes, number = [], [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -119,7 +117,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], list(row))
 
         for b in steps(batches):
-            ids, before = encoder.encode(b.column("text"))
+            ids, before = words.encode(b.column("text"))
             counts = np.diff(before) + 1
             every = np.full(len(ids) + b.num_rows, end, np.uint32)
             starts = np.concatenate([[0], np.cumsum(counts)])
