@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import cut, steps
-from maskweave.llm.encoding import encoder, vocabulary
+from maskweave.llm.encoding import STEP, encoder, vocabulary
 from maskweave.operators.joins import two_level_rank
 
 CAPACITY = 2048
@@ -38,7 +38,7 @@ def pieces_of(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary(tokenizer), True)
-        for b in steps(batches):
+        for b in steps(batches, limit=STEP):
             ids, before = words.encode(b.column("text"))
             rows = []
             for i in range(b.num_rows):

@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of text that are encoded at once.
+STEP = 8_000_000
 #: Pieces, and words in them, whose ids a worker keeps.
-MAX_PIECES = 600_000
+MAX_PIECES = 500_000
 MAX_WORDS = 600_000
 #: White space as any of the libraries' expressions has it, for the regular expressions of Arrow.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -123,6 +125,11 @@ class Encoder:
     def _split(self, texts: pa.Array) -> pa.ListArray:
         """The pieces of every text; without leading blanks, the first one is empty."""
         if not self.lead:
+            # such a vocabulary drops white space and lower-cases: blanks may stand before marks, and ASCII be lowered
+            # first (not before combining marks, which are composed with letters before these are lowered)
+            if not pc.any(pc.match_substring_regex(texts, r"\pM")).as_py():
+                texts = pc.ascii_lower(texts)
+            texts = pc.replace_substring_regex(texts, r"(\pL)([.,])([ \n])", r"\1 \2\3")
             return pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("", texts, " "), "\n", " "), " ")
         parts = pc.split_pattern(texts, " ")
         unsafe = np.flatnonzero(pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False))

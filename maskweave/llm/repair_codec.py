@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import cut, steps
-from maskweave.llm.encoding import encoder, ragged, vocabulary
+from maskweave.llm.encoding import STEP, encoder, ragged, vocabulary
 from maskweave.session import checkpoint_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -116,7 +116,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
             types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 3]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], list(row))
 
-        for b in steps(batches):
+        for b in steps(batches, limit=STEP):
             ids, before = words.encode(b.column("text"))
             counts = np.diff(before) + 1
             every = np.full(len(ids) + b.num_rows, end, np.uint32)
