@@ -21,10 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at once.
-STEP = 8_000_000
+STEP = 6_000_000
 #: Pieces, and words in them, whose ids a worker keeps.
-MAX_PIECES = 500_000
-MAX_WORDS = 600_000
+MAX_PIECES = 300_000
+MAX_WORDS = 400_000
 #: White space as any of the libraries' expressions has it, for the regular expressions of Arrow.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 UNSAFE = f"{SPACE} | {SPACE}"
@@ -53,7 +53,10 @@ def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, keeps_blanks: bool) -> "Encoder":
-    """The encoder of this Python worker; its cache serves all tasks that the worker runs."""
+    """The encoder of this Python worker; its cache serves all tasks that the worker runs.
+
+    ``encoder.cache_clear()`` gives its memory back.
+    """
     return Encoder(path, keeps_blanks)
 
 
@@ -100,18 +103,19 @@ class Encoder:
         whole, tails = [], []
         for i, p in enumerate(pieces):
             self.known[p] = len(self.sizes) + i
-            m = WORD_AND_TAIL.fullmatch(p)
-            ids = None
-            if m and m[1].isalpha():
-                ids = self.words.get(m[1])
-                if ids is None and (ids := self._word(m[1])) is not None:
-                    self.words[m[1]] = ids
+            word, tail, ids = p, None, None
+            if not p.isalpha() and (m := WORD_AND_TAIL.fullmatch(p)):
+                word, tail = m[1], m[2]
+            if word.isalpha():
+                ids = self.words.get(word)
+                if ids is None and (ids := self._word(word)) is not None:
+                    self.words[word] = ids
             if ids is None:
                 whole.append(i)
-            elif m[2] and m[2] not in self.tails:
-                tails.append(m[2])
-                self.tails[m[2]] = b""
-            got.append(ids if ids is None or not m[2] else (ids, m[2]))
+            elif tail and tail not in self.tails:
+                tails.append(tail)
+                self.tails[tail] = b""
+            got.append((ids, tail) if tail and ids is not None else ids)
         self.tails.update(zip(tails, self._encode(tails)))
         for i, ids in zip(whole, self._encode([self.lead + pieces[i] for i in whole])):
             got[i] = ids

@@ -80,13 +80,19 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, n
 
 def expand(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """The ids that the symbols stand for."""
-    while len(symbols) and (inner := symbols >= TERMINALS).any():
-        out = np.repeat(symbols, np.where(inner, 2, 1))
+    flat = np.arange(TERMINALS, TERMINALS + len(rules), dtype=np.uint32)
+    while (inner := flat >= TERMINALS).any():  # all rules, level by level
+        out = np.repeat(flat, np.where(inner, 2, 1))
         at = np.flatnonzero(inner) + np.arange(int(inner.sum()))
-        halves = rules[symbols[inner].astype(np.int64) - TERMINALS]
+        halves = rules[flat[inner].astype(np.int64) - TERMINALS]
         out[at], out[at + 1] = halves[:, 0], halves[:, 1]
-        symbols = out
-    return symbols
+        flat = out
+    ends = np.cumsum(lengths, dtype=np.int64)
+    inner = symbols >= TERMINALS
+    rule = symbols[inner].astype(np.int64) - TERMINALS
+    starts, sizes = symbols.astype(np.int64), np.ones(len(symbols), np.int64)
+    starts[inner], sizes[inner] = TERMINALS + ends[rule] - lengths[rule], lengths[rule]
+    return np.concatenate([np.arange(TERMINALS, dtype=np.uint32), flat])[ragged(starts, sizes)]
 
 
 def read_range(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, start: int, stop: int) -> np.ndarray:
