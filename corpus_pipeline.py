@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_two_fit.pack(docs, keep_cache=False)
+    return best_two_fit.pack(docs, lean=True)
 
 
 STAGES = [

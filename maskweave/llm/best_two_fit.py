@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import cut, steps
-from maskweave.llm.encoding import STEP, encoder, vocabulary
+from maskweave.llm.encoding import MAX_PIECES, STEP, encoder, vocabulary
 from maskweave.operators.joins import two_level_rank
 
 CAPACITY = 2048
@@ -33,17 +33,17 @@ END = 0
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def pieces_of(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY, keep_cache: bool = True) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY, lean: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32.
 
-    Without ``keep_cache`` a worker's cache of words goes at the end of each task: slower,
-    but the memory is there for the other stages of a job.
+    ``lean`` takes smaller steps with a small cache of words that goes at the end of each
+    task: slower, but the memory is there for the other stages of a job.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary(tokenizer), True)
-        for b in steps(batches, limit=STEP):
-            ids, before = words.encode(b.column("text"))
+        for b in steps(batches, limit=STEP // 4 if lean else STEP):
+            ids, before = words.encode(b.column("text"), MAX_PIECES // 5 if lean else MAX_PIECES)
             rows = []
             for i in range(b.num_rows):
                 own = np.append(ids[before[i] : before[i + 1]], np.uint32(end)).astype("<u4")
@@ -53,8 +53,8 @@ def pieces_of(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
                 rows += [(i, p, s, e - s, zlib.crc32(data[4 * s : 4 * e])) for p, (s, e) in enumerate(zip(cuts, cuts[1:]))]
             which, piece, start, length, crc = (pa.array(c, pa.int64()) for c in zip(*rows))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(which), piece.cast(pa.int32()), start, length, crc], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        if not keep_cache:
-            encoder.cache_clear()
+        if lean:
+            words.clear(words=True)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")

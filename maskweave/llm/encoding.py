@@ -55,7 +55,7 @@ def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def encoder(path: str, keeps_blanks: bool) -> "Encoder":
     """The encoder of this Python worker; its cache serves all tasks that the worker runs.
 
-    ``encoder.cache_clear()`` gives its memory back.
+    ``clear(words=True)`` gives the cache's memory back.
     """
     return Encoder(path, keeps_blanks)
 
@@ -72,9 +72,9 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, words: bool = False) -> None:
         self.known: dict[str, int] = {}  # of pieces after a blank
-        if len(self.words) > MAX_WORDS:
+        if words or len(self.words) > MAX_WORDS:
             self.words.clear()
         self.tails: dict[str, bytes] = {}
         self.ids = np.zeros(0, np.uint32)
@@ -144,10 +144,10 @@ class Encoder:
         other = pa.array([SAFE_BLANK.split(t) for t in texts.take(pa.array(unsafe)).to_pylist()], parts.type)
         return pa.concat_arrays([parts, other]).take(pa.array(lists))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, max_pieces: int = MAX_PIECES) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids before each text); nulls are empty texts."""
-        if len(self.known) > MAX_PIECES:
-            self.clear()
+        if len(self.known) > max_pieces:
+            self.clear(words=max_pieces < MAX_PIECES)
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         parts = self._split(texts.cast(pa.string()).fill_null(""))
