@@ -82,7 +82,7 @@ class ByteCnn:
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         out = np.empty((len(x), len(self.langs)), np.float32)
-        for i in range(0, len(x), BLOCK):
+        for i in range(0, len(x) if self.langs else 0, BLOCK):
             z = np.maximum(self._pooled(x[i : i + BLOCK])[0], 0) @ self.p["w"] + self.p["b"]
             z = np.exp(z - z.max(axis=1, keepdims=True))
             out[i : i + BLOCK] = z / z.sum(axis=1, keepdims=True)

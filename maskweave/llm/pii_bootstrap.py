@@ -54,18 +54,20 @@ HOLDS = {
 }
 #: An identifier-like word, and what of it is not part of the identifier.
 WORDLIKE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-LEADING = r"^[\"'(\[{<=:]*+"
-TRAILING = r"[\"').,;:!?\]}>]++$"
+LEADING = "\"'([{<=:"
+TRAILING = "\"').,;:!?]}>"
 #: Shape of an unseen identifier by kind.
 SHAPES = {
     "email": "value RLIKE '.@.'",
-    "ip": "value RLIKE '^[0-9A-Fa-f]*[0-9][0-9A-Fa-f]*[.:][0-9A-Fa-f.:]*[.:][0-9A-Fa-f.:]*$'",
+    "ip": "value RLIKE '^[0-9A-Fa-f.:]++$' AND value RLIKE '[0-9]' AND value RLIKE '[.:][0-9A-Fa-f]*+[.:]'",
     "card": "length(regexp_replace(value, '[^0-9]', '')) BETWEEN 12 AND 19",
     "phone": "length(regexp_replace(value, '[^0-9]', '')) BETWEEN 7 AND 15 AND value RLIKE '^[+(]?[0-9][0-9() ./-]*$'",
 }
 ROUNDS = 3
 SUPPORT = 3.0
 CONFIDENT = 0.6
+#: Matches whose positions are found in one fold.
+FOLD = 256
 SPAN = "struct<start:int,end:int,value:string,gap:string>"
 
 
@@ -75,12 +77,19 @@ def _found(df: DataFrame, pattern: str, gate: Column, out: str) -> DataFrame:
     df = df.withColumn("_gate", gate)
     df = df.withColumn("_m", F.when(F.col("_gate"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(empty))
     df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split("text", pattern, -1)).otherwise(empty))
-    fold = (
-        f"aggregate(sequence(1, size(_m)), struct(0 AS at, cast(array() AS array<{SPAN}>) AS got), (a, i) -> struct("
+    # running positions in two levels, over blocks of matches and inside each, since a fold that collects copies what it has
+    n, each = "size(_m)", FOLD
+    blocks = f"sequence(0, ({n} - 1) DIV {each})"
+    total = lambda x: f"aggregate(slice({x}, b * {each} + 1, {each}), 0, (t, v) -> t + length(v))"
+    df = df.withColumn("_b", F.when(F.size("_m") > 0, F.expr(f"transform({blocks}, b -> {total('_g')} + {total('_m')})")))
+    df = df.withColumn("_s", F.expr("aggregate(_b, array(0), (s, v) -> concat(s, array(element_at(s, -1) + v)))"))
+    inside = (
+        f"aggregate(sequence(b * {each} + 1, least({n}, (b + 1) * {each})), struct(_s[b] AS at, cast(array() AS array<{SPAN}>) AS got), (a, i) -> struct("
         "a.at + length(_g[i - 1]) + length(_m[i - 1]) AS at, concat(a.got, array(struct(a.at + length(_g[i - 1]) AS start, "
         "a.at + length(_g[i - 1]) + length(_m[i - 1]) AS end, _m[i - 1] AS value, right(_g[i - 1], 60) AS gap))) AS got), a -> a.got)"
     )
-    return df.withColumn(out, F.when(F.size("_m") > 0, F.expr(fold)).otherwise(F.array().cast(f"array<{SPAN}>"))).drop("_gate", "_m", "_g")
+    found = F.expr(f"flatten(transform({blocks}, b -> {inside}))")
+    return df.withColumn(out, F.when(F.size("_m") > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))).drop("_gate", "_m", "_g", "_b", "_s")
 
 
 def with_base_spans(df: DataFrame, out: str = "base") -> DataFrame:
@@ -108,8 +117,8 @@ def occurrences(found: DataFrame) -> DataFrame:
         "uid", _context("s.gap").alias("pattern"), F.col("s.value").alias("value"), F.col("s.ord").alias("ord"),
         F.col("s.start").alias("start"), F.col("s.end").alias("end"),
     )
-    lead = F.length(F.regexp_extract("s.value", LEADING, 0))
-    core = F.regexp_replace(F.regexp_replace("s.value", LEADING, ""), TRAILING, "")
+    body = F.ltrim(F.col("s.value"), F.lit(LEADING))
+    lead, core = F.length("s.value") - F.length(body), F.rtrim(body, F.lit(TRAILING))
     unseen = (
         found.select("uid", F.expr("filter(words, w -> NOT exists(base, b -> b.start < w.end AND w.start < b.end))").alias("words"))
         .select("uid", F.explode("words").alias("s"))
