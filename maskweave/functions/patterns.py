@@ -108,34 +108,21 @@ class PatternError(ValueError):
     """The pattern is not a valid JavaScript regular expression (as far as we translate)."""
 
 
-def has_unescaped_wildcard(pattern: str) -> bool:
-    return any(ch in "*?" and (i == 0 or pattern[i - 1] != "\\") for i, ch in enumerate(pattern))
+# What makes a pattern a regular expression, and what a wildcard pattern means literally.
+REGEX_MARKS = re.compile(r"\\[dDsSwWbBtrnvf]|[\[\](){}+|^$]")
+WILDCARD_PARTS = re.compile(r"(?P<literal>\\[*?])|(?P<run>\*)|(?P<one>\?)|(?P<special>[\\.^$+{}()|\[\]])")
+NOT_BLANK = r"[^\s]"
 
 
-def looks_like_regex(pattern: str) -> bool:
-    return re.search(r"\\[dDsSwWbBtrnvf]|[\[\](){}+|^$]", pattern) is not None
+def is_wildcard(pattern: str) -> bool:
+    """It has a free ``*`` or ``?`` and nothing that only a regular expression has."""
+    return re.search(r"(?<!\\)[*?]", pattern) is not None and not REGEX_MARKS.search(pattern)
 
 
 def wildcard_to_js(pattern: str) -> str:
     """``*`` → run of non-spaces, ``?`` → one non-space; ``\\*``/``\\?`` are literal."""
-    out = []
-    i = 0
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\" and i + 1 < len(pattern) and pattern[i + 1] in "*?":
-            out.append("\\" + pattern[i + 1])
-            i += 2
-            continue
-        if ch == "*":
-            out.append("[^\\s]*")
-        elif ch == "?":
-            out.append("[^\\s]")
-        elif ch in "\\.^$+{}()|[]":
-            out.append("\\" + ch)
-        else:
-            out.append(ch)
-        i += 1
-    return "".join(out)
+    meaning = {"literal": lambda t: t, "run": lambda t: NOT_BLANK + "*", "one": lambda t: NOT_BLANK, "special": lambda t: "\\" + t}
+    return WILDCARD_PARTS.sub(lambda m: meaning[m.lastgroup](m[0]), pattern)
 
 
 def js_trim(text: str) -> str:
@@ -150,7 +137,7 @@ def js_trim(text: str) -> str:
 def rule_to_js(pattern: str) -> str:
     """A user rule (wildcard or regex) → JavaScript regex source."""
     trimmed = js_trim(pattern)
-    if has_unescaped_wildcard(trimmed) and not looks_like_regex(trimmed):
+    if is_wildcard(trimmed):
         return wildcard_to_js(trimmed)
     return trimmed
 

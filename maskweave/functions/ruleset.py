@@ -97,6 +97,9 @@ class RuleSet:
         """rows: iterables of (id, pattern, replacement[, enabled]) in rule order."""
         staged = []
         invalid = []
+        rows = list(rows)
+        if len(rows) > MAX_RULES:
+            raise ValueError(f"rule set too large for literal compilation: {len(rows)} > {MAX_RULES}")
         for row in rows:
             rid, pattern, replacement = row[0], row[1], row[2]
             enabled = row[3] if len(row) > 3 else True
@@ -108,8 +111,6 @@ class RuleSet:
                 invalid.append((rid, pattern, str(exc)))
                 continue
             staged.append((rid, pattern, replacement or "", rx))
-        if len(staged) > MAX_RULES:
-            raise ValueError(f"rule set too large for literal compilation: {len(staged)} > {MAX_RULES}")
         if spark is not None and staged:
             bad = java_invalid(spark, [s[3] for s in staged])
             invalid += [(s[0], s[1], "invalid regex") for i, s in enumerate(staged) if i in bad]
@@ -132,7 +133,9 @@ class RuleSet:
         sel = sel.select("id", "pattern", "replacement", *order)
         if order:
             sel = sel.orderBy(*order)
-        rows = sel.limit(MAX_RULES + 1).collect()
+        if (n := rules_df.count()) > MAX_RULES:  # before anything is dropped, so no rule is ever left out silently
+            raise ValueError(f"rule set too large for literal compilation: {n} > {MAX_RULES}")
+        rows = sel.collect()
         return RuleSet.from_rows([(r["id"], r["pattern"], r["replacement"]) for r in rows], rules_df.sparkSession)
 
 

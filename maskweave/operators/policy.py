@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # The built-in default policy and the valid modes.
 DEFAULT_POLICY = {"mode": "tokenOnly", "allow_external": False, "max_input": 100_000, "max_output": 150_000}
 MODES = ["tokenOnly", "selectiveDeanonymize", "trusted"]
-NATIVE_TOOL_PREFIX = "cloakd_"
 
 
 def _pos_int(c: Column, fallback: Column) -> Column:
@@ -53,9 +52,9 @@ def with_policy(df: DataFrame, tool_col: str, policies: DataFrame) -> DataFrame:
     )
 
 
-def gate_rows(df: DataFrame, tool_col: str) -> DataFrame:
-    """Allowed if tokenOnly, a native tool, or allow_external; else a reason."""
-    allowed = (F.col("mode") == "tokenOnly") | F.col(tool_col).startswith(NATIVE_TOOL_PREFIX) | F.col("allow_external")
+def gate_rows(df: DataFrame, tool_col: str, native_prefix: str = "native_") -> DataFrame:
+    """Allowed if tokenOnly, a native tool (by its prefix), or allow_external; else a reason."""
+    allowed = (F.col("mode") == "tokenOnly") | F.col(tool_col).startswith(native_prefix) | F.col("allow_external")
     return df.withColumn("allowed", allowed).withColumn(
         "reason", F.when(allowed, F.lit(None).cast("string")).otherwise(F.lit("external tool not allowed by policy")))
 

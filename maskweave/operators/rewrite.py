@@ -127,13 +127,22 @@ def anonymize(
     token_guard: bool = True,
 ) -> Anonymized:
     """Detect → allocate → rewrite.  ``order_cols`` (integral or timestamp)
-    give the processing order for numbering; inside a text, right to left."""
+    give the processing order for numbering; inside a text, right to left.
+
+    It fails closed: the texts of rows with a null scope or key, and of rows with
+    spans that share their key, come out null, never as they were."""
     spark = df.sparkSession
     vault = vault if vault is not None else empty_vault(spark)
     counters = counters if counters is not None else empty_counters(spark)
     order_cols = order_cols or key_cols
     scope_col = scope if isinstance(scope, Column) else F.lit(scope)
     base = df.withColumn("scope", scope_col)
+    # without scope and key a row cannot meet its tokens, so its texts are withheld
+    named = F.col("scope").isNotNull()
+    for k in key_cols:
+        named = named & F.col(k).isNotNull()
+    for c in text_cols:
+        base = base.withColumn(c, F.when(named, F.col(c)))
 
     detected = detect_rows(base, text_cols, rules).persist(StorageLevel.MEMORY_AND_DISK)
     occ = span_occurrences(detected, key_cols, order_cols, text_cols, rules)
@@ -165,7 +174,12 @@ def anonymize(
     for col_no in range(len(text_cols)):
         hit_filter = hit_filter | (F.size(f"_spans{col_no}") > 0)
     spans_names = [f"_spans{i}" for i in range(len(text_cols))]
-    with_hits = detected.filter(hit_filter).drop(*spans_names).join(per_row, key_cols, "left")
+    spans = sum((F.size(c) for c in spans_names), F.lit(0))
+    with_hits = detected.filter(hit_filter).withColumn("_n", spans).drop(*spans_names).join(per_row, key_cols, "left")
+    # more tokens than spans: the key names several rows, whose texts are withheld rather than mixed up
+    for c in text_cols:
+        with_hits = with_hits.withColumn(c, F.when(F.coalesce(F.size("_repl"), F.lit(0)) <= F.col("_n"), F.col(c)))
+    with_hits = with_hits.drop("_n")
     no_hits = detected.filter(~hit_filter).drop(*spans_names).withColumn("_repl", F.lit(None))
 
     repl = F.coalesce(F.col("_repl"), F.array().cast(per_row.schema["_repl"].dataType))

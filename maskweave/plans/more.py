@@ -92,14 +92,13 @@ def o_incremental_anonymize():
 
 
 def q_quarantine(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ok, rejected = rw.quarantine(docs, "text", max_chars=20000)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"))
+    ok, rejected = rw.quarantine(docs, "text")
     return rejected.select("doc_id", "reason")
 
 
 def o_quarantine():
-    return ("SELECT doc_id, CASE WHEN text IS NULL THEN 'null text' ELSE 'text too large' END AS reason "
-            "FROM documents WHERE text IS NULL OR length(text) > 20000")
+    return "SELECT doc_id, 'null text' AS reason FROM documents WHERE text IS NULL OR doc_id % 7 = 0"
 
 
 # ------------------------------------------------------------ payload / policy
@@ -180,14 +179,14 @@ def _events_with_policy(spark, sf_dir):
 
 
 def q_gate_rows(spark, sf_dir):
-    g = po.gate_rows(_events_with_policy(spark, sf_dir), "tool")
+    g = po.gate_rows(_events_with_policy(spark, sf_dir), "tool", native_prefix="sign")
     return g.select("event_id", "tool", "allowed", "reason")
 
 
 def o_gate_rows():
     return f"""SELECT e.event_id, e.event_type AS tool,
-  coalesce(p.mode, 'tokenOnly') = 'tokenOnly' OR starts_with(e.event_type, 'cloakd_') OR coalesce(p.allow_external, false) AS allowed,
-  CASE WHEN coalesce(p.mode, 'tokenOnly') = 'tokenOnly' OR starts_with(e.event_type, 'cloakd_') OR coalesce(p.allow_external, false)
+  coalesce(p.mode, 'tokenOnly') = 'tokenOnly' OR starts_with(e.event_type, 'sign') OR coalesce(p.allow_external, false) AS allowed,
+  CASE WHEN coalesce(p.mode, 'tokenOnly') = 'tokenOnly' OR starts_with(e.event_type, 'sign') OR coalesce(p.allow_external, false)
        THEN NULL ELSE 'external tool not allowed by policy' END AS reason
 FROM events e LEFT JOIN ({_O_NORMALIZED}) p ON e.event_type = p.tool"""
 
@@ -278,14 +277,14 @@ def q_attach_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     files = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(0).alias("file_no"),
                         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
-                        truncate_text(F.col("text"), 200, "").alias("text"))
+                        F.col("text"))
     return cv.attach_files(conv, files).select("conv_id", "turn", "text")
 
 
 def o_attach_files():
     return f"""SELECT c.conv_id, c.turn, CASE WHEN d.doc_id IS NULL THEN c.text ELSE c.text || chr(10) || chr(10) ||
   '[Attached file: doc_' || CAST(d.doc_id AS VARCHAR) || '.txt]' || chr(10) || '```' || chr(10) ||
-  CASE WHEN length(d.text) > 200 THEN substr(d.text, 1, 200) ELSE d.text END || chr(10) || '```' END AS text
+  d.text || chr(10) || '```' END AS text
 FROM ({CONV_SELECT}) c LEFT JOIN documents d ON d.doc_id = c.conv_id WHERE c.turn = 0"""
 
 
