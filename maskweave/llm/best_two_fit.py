@@ -42,8 +42,8 @@ def pieces_of(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary(tokenizer), True)
-        for b in steps(batches, limit=STEP // 4 if lean else STEP):
-            ids, before = words.encode(b.column("text"), MAX_PIECES // 5 if lean else MAX_PIECES)
+        for b in steps(batches, limit=STEP // 8 if lean else STEP):
+            ids, before = words.encode(b.column("text"), MAX_PIECES // 10 if lean else MAX_PIECES)
             rows = []
             for i in range(b.num_rows):
                 own = np.append(ids[before[i] : before[i + 1]], np.uint32(end)).astype("<u4")

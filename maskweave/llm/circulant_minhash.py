@@ -97,7 +97,7 @@ def measure(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permuted = second_permutation(length)
-        for b in steps(batches, limit=1_000_000):
+        for b in steps(batches, limit=500_000):
             s, before = shingle_hashes(*word_hashes(*flat_bytes(b.column("text"))))
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(s + np.uint64(k)), dtype=np.uint64)]) for k in (1, 2)]
             digest = [(x[before[1:]] - x[before[:-1]]).view(np.int64) for x in sums]

@@ -17,7 +17,7 @@ from maskweave.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
 #: Characters that one step of a batched operator holds as Python or numpy objects.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
         for end in ends:
             yield b.slice(at, end - at)
             at = end
+        pa.default_memory_pool().release_unused()
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
