@@ -1,7 +1,7 @@
-"""DuckDB oracle SQL for the matching / allocation / rewrite chain.
+"""DuckDB oracle SQL built from the same rule texts as the Spark queries.
 
-The oracle restates the semantics plainly (list folds per text, window ranks
-per family) so that it shares no code path with the Spark plan.
+It takes over the pattern translation and token families of ``functions``, so a wrong
+constant there would pass on both sides; matching, allocation and rewriting are its own.
 """
 
 from __future__ import annotations
