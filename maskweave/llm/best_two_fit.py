@@ -54,7 +54,7 @@ def pieces_of(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
             which, piece, start, length, crc = (pa.array(c, pa.int64()) for c in zip(*rows))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(which), piece.cast(pa.int32()), start, length, crc], ["doc_id", "piece", "start", "length", "ids_crc32"])
         if lean:
-            words.clear(words=True)
+            words.clear()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")

@@ -1,12 +1,11 @@
-"""Token ids of whole texts by the tokenizers library, word by word with a bounded cache.
+"""Token ids of whole texts by the tokenizers library, piece by piece with a bounded cache.
 
 A public tokenizer's pre-tokenizer never joins characters across a single blank between
 two other characters: what follows the blank starts a new pre-token (with the blank, where
 the vocabulary keeps it).  So a text is cut at such blanks, every distinct piece is encoded
-once by the library, and the ids are put together by array operations.  Nor does it join
-letters with an ASCII character after them that is no letter, so a piece that starts with
-letters is its word, given to the library's model, and its tail.  The result equals encoding
-the whole text at once; ``tests/llm`` compares them.
+once by the library, and the ids are put together by array operations.  New pieces are given
+to the library many to a text, and the tokens show where each one lies.  The result equals
+encoding the whole text at once; ``tests/llm`` compares them.
 """
 
 from __future__ import annotations
@@ -22,13 +21,13 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at once.
 STEP = 6_000_000
-#: Pieces, and words in them, whose ids a worker keeps.
-MAX_PIECES = 300_000
-MAX_WORDS = 400_000
+#: Pieces whose ids a worker keeps.
+MAX_PIECES = 400_000
+#: Pieces that are given to the library in one text.
+GROUP = 256
 #: White space as any of the libraries' expressions has it, for the regular expressions of Arrow.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 UNSAFE = f"{SPACE} | {SPACE}"
-WORD_AND_TAIL = re.compile(r"([^\W\d_]+)([\x00-@\[-`{-\x7f].*)?", re.DOTALL)
 SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -55,7 +54,7 @@ def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def encoder(path: str, keeps_blanks: bool) -> "Encoder":
     """The encoder of this Python worker; its cache serves all tasks that the worker runs.
 
-    ``clear(words=True)`` gives the cache's memory back.
+    ``clear()`` gives the cache's memory back.
     """
     return Encoder(path, keeps_blanks)
 
@@ -67,16 +66,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
         self.lead = " " if keeps_blanks else ""
-        self.words: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)  # U+0120 is the byte-level form of a blank
+        self.edge[[i for t, i in vocab.items() if (t.startswith("\u0120") if keeps_blanks else t.endswith("</w>"))]] = True
         self.clear()
 
-    def clear(self, words: bool = False) -> None:
+    def clear(self) -> None:
         self.known: dict[str, int] = {}  # of pieces after a blank
-        if words or len(self.words) > MAX_WORDS:
-            self.words.clear()
-        self.tails: dict[str, bytes] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._add([""])
@@ -84,46 +81,39 @@ class Encoder:
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes | None:
-        """The ids of letters after a blank; None where the library does not see one pre-token."""
-        if word.isascii():
-            form = "\u0120" + word if self.lead else word.lower()  # U+0120 is the byte-level form of a blank
-        else:
-            text = self.lead + word
-            if self.tokenizer.normalizer is not None:
-                text = self.tokenizer.normalizer.normalize_str(text)
-            forms = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-            if len(forms) != 1:
-                return None
-            form = forms[0][0]
-        return array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+    def _lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of pieces that the library sees apart in one text.
+
+        With blanks kept, such a piece has no white space at its edges and no blank, so that only its
+        first token starts with one; else it is letters, of which only the last token ends a word.  A
+        group of pieces whose tokens do not show as many pieces is encoded piece by piece.
+        """
+        groups = [pieces[i : i + GROUP] for i in range(0, len(pieces), GROUP)]
+        ids, sizes = [], []
+        for group, line in zip(groups, self._encode([self.lead + " ".join(g) for g in groups])):
+            found = np.frombuffer(line, np.uint32)
+            edges = np.flatnonzero(self.edge[found])
+            ends = np.append(edges[1:], len(found)) if self.lead else edges + 1
+            if len(edges) != len(group) or (edges[0] if self.lead else len(found) - ends[-1]):
+                found, counts = joined(self._encode([self.lead + p for p in group]))
+            else:
+                counts = np.diff(ends, prepend=0)
+            ids.append(found)
+            sizes.append(counts)
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else joined([])
 
     def _add(self, pieces: list[str]) -> None:
-        got: list = []
-        whole, tails = [], []
-        for i, p in enumerate(pieces):
-            self.known[p] = len(self.sizes) + i
-            word, tail, ids = p, None, None
-            if not p.isalpha() and (m := WORD_AND_TAIL.fullmatch(p)):
-                word, tail = m[1], m[2]
-            if word.isalpha():
-                ids = self.words.get(word)
-                if ids is None and (ids := self._word(word)) is not None:
-                    self.words[word] = ids
-            if ids is None:
-                whole.append(i)
-            elif tail and tail not in self.tails:
-                tails.append(tail)
-                self.tails[tail] = b""
-            got.append((ids, tail) if tail and ids is not None else ids)
-        self.tails.update(zip(tails, self._encode(tails)))
-        for i, ids in zip(whole, self._encode([self.lead + pieces[i] for i in whole])):
-            got[i] = ids
-        got = [x[0] + self.tails[x[1]] if isinstance(x, tuple) else x for x in got]
-        ids, sizes = joined(got)
+        apart = [p for p in pieces if (p and " " not in p and p == p.strip() if self.lead else p.isalpha())]
+        if len(apart) < len(pieces):
+            own = set(apart)
+            pieces = [*apart, *(p for p in pieces if p not in own)]
+        self.known.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces))))
+        ids, sizes = self._lines(apart)
+        rest, rest_sizes = joined(self._encode([self.lead + p for p in pieces[len(apart) :]]))
+        sizes = np.concatenate([sizes, rest_sizes])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, ids])
+        self.ids = np.concatenate([self.ids, ids, rest])
         gc.freeze()  # what the cache keeps need not be searched for cycles
 
     def _split(self, texts: pa.Array) -> pa.ListArray:
@@ -147,7 +137,7 @@ class Encoder:
     def encode(self, texts: pa.Array, max_pieces: int = MAX_PIECES) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids before each text); nulls are empty texts."""
         if len(self.known) > max_pieces:
-            self.clear(words=max_pieces < MAX_PIECES)
+            self.clear()
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         parts = self._split(texts.cast(pa.string()).fill_null(""))
