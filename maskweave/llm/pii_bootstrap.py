@@ -1,8 +1,12 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are what the base patterns of the four kinds find.  The two words before an
-entity are a lexical pattern.  Patterns and instances (identifier-like words, i.e. words
-with a digit or an at sign) form a bipartite graph that Spark scores round after round:
+entity are a lexical pattern, with an empty word for each that the text's start leaves
+out; what stands before the entity in its own word counts as one, brackets and quotes
+apart.  Instances are identifier-like words, i.e. words with a digit or an at sign, and
+runs of digit words that single blanks separate: an instance starts at every word and
+goes on as long as the run has at most ``RUN_DIGITS`` digits; a discovered span is its
+longest beginning that has the shape of the kind.  Patterns and instances form a bipartite graph that Spark scores round after round:
 a pattern's score for a kind is the confidence of its distinct instances over their
 number, and an unseen instance's confidence is the chance that one of its patterns is
 right.  Patterns with at least ``SUPPORT`` worth of instances and a score of
@@ -10,7 +14,7 @@ right.  Patterns with at least ``SUPPORT`` worth of instances and a score of
 of the kind.  Base spans are never changed.
 
 Positions are code points, the end exclusive.  Work per row is linear in the text but
-for the list of its spans.  Graph tables are aggregated by (pattern, value) before they
+for the list of its spans, each of which is compared with the identifier-like words.  Graph tables are aggregated by (pattern, value) before they
 move, so a pattern or value in a third of the texts is one row per task.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated
@@ -56,6 +60,12 @@ HOLDS = {
 WORDLIKE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 LEADING = "\"'([{<=:"
 TRAILING = "\"').,;:!?]}>"
+#: A digit word that a further one can follow, and one that can follow; the digits that a run of them may have.
+FOLLOWED = r"^[\"'(\[{<=:+]*+[0-9][0-9()./-]*+(?<=[0-9)])$"
+FOLLOWING = r"^\(?[0-9][0-9()./-]*+[\"'),;:!?\]}>]*+$"
+RUN_DIGITS = 19
+#: The last word or two of what stands before a word, with the blanks after them.
+LAST_WORDS = r"(?<!\S)\S++(?:\s++\S++)?+\s*+\z"
 #: Shape of an unseen identifier by kind.
 SHAPES = {
     "email": "value RLIKE '.@.'",
@@ -68,11 +78,14 @@ SUPPORT = 3.0
 CONFIDENT = 0.6
 #: Matches whose positions are found in one fold.
 FOLD = 256
-SPAN = "struct<start:int,end:int,value:string,gap:string>"
+SPAN = "struct<start:int,end:int,value:string,before:string>"
+#: Before a base span: what of its word stands before it.  Before a word: the last two words, which the last two matches hold if the gaps do not.
+WORD_BEGINNING = r"regexp_extract(_g[i - 1], '(?<!\\S)\\S++\\z', 0)"
+WORDS_BEFORE = "regexp_extract(concat_ws('', get(_m, i - 3), get(_g, i - 2), get(_m, i - 2), _g[i - 1]), '" + LAST_WORDS.replace("\\", "\\\\") + "', 0)"
 
 
-def _found(df: DataFrame, pattern: str, gate: Column, out: str) -> DataFrame:
-    """``df`` with the matches of ``pattern`` in ``text`` as structs (start, end, value, gap before)."""
+def _found(df: DataFrame, pattern: str, gate: Column, out: str, before: str = WORD_BEGINNING) -> DataFrame:
+    """``df`` with the matches of ``pattern`` in ``text`` as structs (start, end, value, before)."""
     empty = F.array().cast("array<string>")
     df = df.withColumn("_gate", gate)
     df = df.withColumn("_m", F.when(F.col("_gate"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(empty))
@@ -86,18 +99,18 @@ def _found(df: DataFrame, pattern: str, gate: Column, out: str) -> DataFrame:
     inside = (
         f"aggregate(sequence(b * {each} + 1, least({n}, (b + 1) * {each})), struct(_s[b] AS at, cast(array() AS array<{SPAN}>) AS got), (a, i) -> struct("
         "a.at + length(_g[i - 1]) + length(_m[i - 1]) AS at, concat(a.got, array(struct(a.at + length(_g[i - 1]) AS start, "
-        "a.at + length(_g[i - 1]) + length(_m[i - 1]) AS end, _m[i - 1] AS value, right(_g[i - 1], 60) AS gap))) AS got), a -> a.got)"
+        f"a.at + length(_g[i - 1]) + length(_m[i - 1]) AS end, _m[i - 1] AS value, {before} AS before))) AS got), a -> a.got)"
     )
     found = F.expr(f"flatten(transform({blocks}, b -> {inside}))")
     return df.withColumn(out, F.when(F.size("_m") > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))).drop("_gate", "_m", "_g", "_b", "_s")
 
 
 def with_base_spans(df: DataFrame, out: str = "base") -> DataFrame:
-    """``df`` with the base spans of its non-null ``text``: array of (start, ord, end, value, gap), sorted."""
+    """``df`` with the base spans of its non-null ``text``: array of (start, ord, end, value, before), sorted."""
     for kind in KINDS:
         df = _found(df, PATTERNS[kind], GATES[kind](F.col("text")), f"_{kind}")
         df = df.withColumn(f"_{kind}", F.expr(f"filter(_{kind}, s -> {HOLDS[kind]})"))
-    parts = [F.expr(f"transform(_{k}, s -> struct(s.start AS start, {i} AS ord, s.end AS end, s.value AS value, s.gap AS gap))") for i, k in enumerate(KINDS)]
+    parts = [F.expr(f"transform(_{k}, s -> struct(s.start AS start, {i} AS ord, s.end AS end, s.value AS value, s.before AS before))") for i, k in enumerate(KINDS)]
     return df.withColumn(out, F.array_sort(F.concat(*parts))).drop(*[f"_{k}" for k in KINDS])
 
 
@@ -106,26 +119,45 @@ def spans_text(spans: str) -> Column:
     return F.expr(f"concat_ws(',', transform({spans}, s -> concat({names}[s.ord], ':', cast(s.start AS string), ':', cast(s.end AS string))))")
 
 
-def _context(gap: str) -> Column:
-    """The last two words before an identifier, in lower case, with digits alike."""
-    return F.regexp_replace(F.lower(F.regexp_extract(F.col(gap), r"(?:^|\s)(\S+\s+\S+)\s*$", 1)), r"[0-9]+", "0")
+def _context(before: str, beginning: Column) -> Column:
+    """The two words before an identifier, in lower case, with digits alike; ``beginning``: what of its word stands before it."""
+    words = F.rtrim(F.regexp_replace(before, r"\s+", " "))
+    words = F.when(words.contains(" "), words).otherwise(F.concat(F.lit(" "), words))
+    own = F.rtrim(beginning, F.lit(LEADING))
+    words = F.when(own == "", words).otherwise(F.concat(F.substring_index(words, " ", -1), F.lit(" "), own))
+    return F.regexp_replace(F.lower(words), r"[0-9]+", "0")
 
 
-def occurrences(found: DataFrame) -> DataFrame:
-    """(uid, base, words) → one row per seed or unseen identifier: uid, pattern, value, ord (null: unseen), start, end."""
-    seeds = found.select("uid", F.explode("base").alias("s")).select(
-        "uid", _context("s.gap").alias("pattern"), F.col("s.value").alias("value"), F.col("s.ord").alias("ord"),
-        F.col("s.start").alias("start"), F.col("s.end").alias("end"),
+def _unseen(words: DataFrame) -> DataFrame:
+    """(uid, words without base spans, sorted) → uid, pattern, value, start and heads: (value, end) of its beginnings, the longest first."""
+    body = "ltrim('" + LEADING.replace("'", "\\'") + "', w.value)"
+    bare = (
+        f"struct(w.value AS word, {body} AS body, w.start AS start, w.end AS end, w.before AS before, length(regexp_replace(w.value, '[^0-9]', '')) AS digits, "
+        "w.value RLIKE followed AS open, w.value RLIKE following AS more)"
     )
-    body = F.ltrim(F.col("s.value"), F.lit(LEADING))
-    lead, core = F.length("s.value") - F.length(body), F.rtrim(body, F.lit(TRAILING))
-    unseen = (
-        found.select("uid", F.expr("filter(words, w -> NOT exists(base, b -> b.start < w.end AND w.start < b.end))").alias("words"))
-        .select("uid", F.explode("words").alias("s"))
-        .select("uid", _context("s.gap").alias("pattern"), core.alias("value"), F.lit(None).cast("int").alias("ord"), (F.col("s.start") + lead).alias("start"))
-        .withColumn("end", F.col("start") + F.length("value"))
+    words = words.withColumn("followed", F.lit(FOLLOWED)).withColumn("following", F.lit(FOLLOWING)).withColumn("trailing", F.lit(TRAILING))
+    words = words.withColumn("u", F.expr(f"transform(words, w -> {bare})")).drop("words")
+    # ends of the run that starts at a word: a next word must follow the last one's single blank
+    goes_on = "a.open AND x.more AND x.start = a.end + 1 AND right(x.before, 1) = ' ' AND a.digits + x.digits <= " + str(RUN_DIGITS)
+    step = f"if(a.on AND {goes_on}, struct(true AS on, x.open AS open, x.end AS end, a.digits + x.digits AS digits, concat(array(struct(concat(a.heads[0].text, ' ', x.word) AS text)), a.heads) AS heads), named_struct('on', false, 'open', a.open, 'end', a.end, 'digits', a.digits, 'heads', a.heads))"
+    first = "struct(true AS on, w.open AS open, w.end AS end, w.digits AS digits, array(struct(w.body AS text)) AS heads)"
+    run = f"if(w.open, aggregate(slice(u, i + 2, {RUN_DIGITS - 1}), {first}, (a, x) -> {step}, a -> a.heads), array(struct(w.body AS text)))"
+    words = words.select("uid", "trailing", F.explode(F.expr(f"transform(u, (w, i) -> struct(w.before AS before, w.start + length(w.word) - length(w.body) AS start, {run} AS heads))")).alias("s"))
+    words = words.select("uid", _context("s.before", F.lit("")).alias("pattern"), F.col("s.start").alias("start"), F.expr("transform(s.heads, h -> rtrim(trailing, h.text))").alias("texts"))
+    heads = F.expr("transform(texts, t -> struct(t AS value, start + length(t) AS end))")
+    return words.select("uid", "pattern", F.col("texts")[0].alias("value"), "start", heads.alias("heads"))
+
+
+def occurrences(found: DataFrame) -> DataFrame:
+    """(uid, base, words) → one row per seed or unseen identifier: uid, pattern, value, ord (null: unseen), start, heads (of the unseen)."""
+    touched = found.select("uid", F.expr("transform(words, w -> struct(w AS w, filter(base, b -> b.start < w.end AND w.start < b.end) AS spans))").alias("words"))
+    # every base span starts in an identifier-like word
+    seeds = touched.select("uid", F.explode(F.expr("filter(words, x -> size(x.spans) > 0)")).alias("x")).select(
+        "uid", F.col("x.w.before").alias("before"), F.explode(F.expr("filter(x.spans, b -> b.start >= x.w.start)")).alias("s")
     )
-    return seeds.unionByName(unseen).filter("pattern <> '' AND value <> ''")
+    seeds = seeds.select("uid", _context("before", F.col("s.before")).alias("pattern"), F.col("s.value").alias("value"), F.col("s.ord").alias("ord"), F.col("s.start").alias("start"))
+    unseen = _unseen(touched.select("uid", F.expr("transform(filter(words, x -> size(x.spans) = 0), x -> x.w)").alias("words")))
+    return unseen.withColumn("ord", F.lit(None).cast("int")).unionByName(seeds, allowMissingColumns=True).filter("value <> ''")
 
 
 def score_patterns(occ: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -149,17 +181,19 @@ def score_patterns(occ: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def discover(occ: DataFrame, patterns: DataFrame) -> DataFrame:
-    """uid → array of discovered spans (start, ord, end) that no base span touches."""
-    shape = F.expr("CASE " + " ".join(f"WHEN o = {i} THEN {SHAPES[k]}" for i, k in enumerate(KINDS)) + " END")
+    """uid → array of discovered spans (start, ord, end) that no base span touches; one that lies in another is left out."""
+    shape = "CASE " + " ".join(f"WHEN o = {i} THEN {SHAPES[k].replace('value', 'h.value')}" for i, k in enumerate(KINDS)) + " END"
     best = patterns.groupBy("pattern").agg(F.max_by("ord", F.struct("score", -F.col("ord"))).alias("o"))
-    hits = occ.filter("ord IS NULL").drop("ord").join(best, "pattern").filter(shape)
-    return hits.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", F.col("o").alias("ord"), "end"))).alias("more"))
+    hits = occ.filter("ord IS NULL").drop("ord").join(best, "pattern").withColumn("end", F.expr(f"get(filter(heads, h -> {shape}), 0).end")).filter("end IS NOT NULL")
+    more = hits.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", F.col("o").alias("ord"), "end"))).alias("more"))
+    # a word of a run starts an instance of its own, so one may end where an earlier one ends
+    return more.withColumn("more", F.expr("filter(more, (s, i) -> NOT exists(slice(more, greatest(1, i - 17), least(i, 18)), p -> p.end >= s.end))"))
 
 
 def detect(texts: DataFrame) -> DataFrame:
     """(uid, text) → uid, base and all spans.  ``uid`` names a text; texts are not null."""
     found = with_base_spans(texts)
-    found = _found(found, WORDLIKE, F.col("text").rlike("[0-9@]"), "words").drop("text")
+    found = _found(found, WORDLIKE, F.col("text").rlike("[0-9@]"), "words", WORDS_BEFORE).drop("text")
     found = cut(found, "pii-found")
     occ = occurrences(found)
     more = discover(occ, score_patterns(occ))

@@ -95,6 +95,23 @@ def test_patterns_discover_unseen_identifiers(make):
     assert masked[3]["text"] == "please call us at [PHONE] now" and masked[101]["text"] == rows[-1][1]
 
 
+def test_contexts_reach_over_digit_words_and_text_starts(make):
+    rows = [(i, f"Order {i} phone: +1 (555) 01{i % 10}-23{i:02d} now") for i in range(20)]
+    rows += [(50 + i, f"Phone: +1 (555) 02{i % 10}-24{i:02d}, or +1 (555) 03{i % 10}-25{i:02d}") for i in range(20)]
+    long = "x" * 80
+    rows += [(80 + i, f"{long} {long}: +1 (555) 04{i % 10}-26{i:02d}") for i in range(5)]
+    rows += [
+        (100, "Order 42 phone: 555-0199-22"), (101, "Phone: 555-0199"), (102, "Order 7 phone: (555) 019 2233, then 4"), (103, f"1 {long} {long}: 555-0188"),
+        (104, "2 lists. Order 9 phone: 555\t0199"), (105, "555-0177-33 alone"), (106, ""),
+    ]
+    got = {r["doc_id"]: r for r in find_personal_data(make(rows)).collect()}
+    assert [got[i]["spans"] for i in (100, 101, 102)] == ["phone:16:27", "phone:7:15", "phone:16:29"]
+    assert got[103]["spans"] == "phone:165:173" and got[104]["spans"] == "" and got[105]["spans"] == ""
+    assert got[50]["n_phone"] == 2 and got[50]["spans"].count("phone") == 2
+    masked = {r["doc_id"]: r["text"] for r in mask(make(rows)).collect()}
+    assert masked[100] == "Order 42 phone: [PHONE]" and masked[102] == "Order 7 phone: ([PHONE], then 4"
+
+
 def test_mask_keeps_rows_and_columns(edges, empty, make):
     out = mask(edges)
     key = lambda r: (str(r["doc_id"]), r["text"] or "")
