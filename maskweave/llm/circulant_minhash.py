@@ -5,22 +5,26 @@ shingles over ``UNIVERSE`` places; the second one, shifted by k places, gives th
 coordinate of the signature as its minimum over the set.  All coordinates of one
 shingle are a run of the second permutation, so they are read at once.
 
-Texts with equal sets are one class, named by its smallest doc_id.  Classes that share
+Texts with equal sets are one class, a node of the link graph with a number of its own,
+so rows that share a doc_id but not a set are different nodes.  Classes that share
 a band of ``ROWS`` coordinates are candidates; with 64 bands of 6 a pair of similarity
 0.75 or more is missed less than once in 250,000.  Candidates are verified on the full
 sets in three rounds: every class against the partner it shares most bands with among
 the smallest ids of its buckets; then against all those smallest ids; then all pairs
 of a bucket that are still in different components.  So every candidate pair is either
 decided or already connected by verified links, and near copies of one text need about
-one test each, not all their pairs.  Components of the verified links give the result.
+one test each, not all their pairs.  Components of the verified links give the result: a
+component is named by its smallest doc_id, and one row with that doc_id is kept.
 
 A pair is not verified where its parity bits rule it out: every shingle flips one of
 ``PARITY`` bits of its set, so two sets differ in at least as many shingles as bits, and
 a pair whose bits differ too much cannot be similar enough.  That bound is exact.
 
-Defined results: texts without words are linked with nothing; rows that share a doc_id
-count as one document; a null doc_id counts as the largest one; an empty table gives an
-empty result; further columns are left out (``keep_one`` keeps them).
+Defined results: texts without words are linked with nothing, but rows without words that
+share a doc_id count as one document; other rows that share a doc_id stay apart unless
+their texts are near copies; a null doc_id counts as the largest one, and as equal to no
+other; an empty table gives an empty result; further columns are left out (``keep_one``
+keeps them).
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import cut, flat_bytes, mix64, shingle_hashes, steps, word_hashes
@@ -42,6 +46,7 @@ SEED = 20
 CHUNK = 4096  # shingles whose coordinates are held at once
 PARITY = 1024
 NO_ID = 2**63 - 1
+KEY = ["id", "h1", "h2"]
 
 
 def second_permutation(length: int, universe: int = UNIVERSE, seed: int = SEED) -> np.ndarray:
@@ -92,7 +97,7 @@ def may_be_similar(percent: int) -> str:
 
 
 def measure(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: id, n (shingles), d1 and d2 (digest of the set), bits (parity), bands."""
+    """Per document: id, h1 and h2 (hashes of the text), n (shingles), d1 and d2 (digest of the set), bits (parity), bands."""
     length = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,11 +110,15 @@ def measure(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             keys = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
             parity = parity_bits(s, before)
             parity = pa.ListArray.from_arrays(np.arange(0, parity.size + 1, PARITY // 64, dtype=np.int32), pa.array(parity.ravel()))
-            columns = [b.column("id"), pa.array(np.diff(before).astype(np.int64)), *map(pa.array, digest), parity, keys]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "bits", "bands"])
+            columns = [*map(b.column, KEY), pa.array(np.diff(before).astype(np.int64)), *map(pa.array, digest), parity, keys]
+            yield pa.RecordBatch.from_arrays(columns, [*KEY, "n", "d1", "d2", "bits", "bands"])
 
-    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), "text")
-    return ids.mapInArrow(run, "id long, n long, d1 long, d2 long, bits array<long>, bands array<long>")
+    return docs.select(*key_of("doc_id", "text"), "text").mapInArrow(run, "id long, h1 long, h2 long, n long, d1 long, d2 long, bits array<long>, bands array<long>")
+
+
+def key_of(doc_id: str, text: str) -> list[Column]:
+    """``KEY``: the doc_id and two hashes of the text, by which rows with the same doc_id and text meet again."""
+    return [F.coalesce(doc_id, F.lit(NO_ID)).cast("long").alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
@@ -137,13 +146,20 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = 75) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept (see the module)."""
-    measured = cut(measure(docs, bands, rows), "dup-bands")
+def resolve(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = 75) -> DataFrame:
+    """Per document: KEY, n, component (its smallest id), kept, several (rows may share the KEY of a kept one)."""
+    measured = cut(measure(docs, bands, rows).withColumn("row", F.monotonically_increasing_id()), "dup-bands")
     # the bands of one class are equal, so any of its rows has them
     classes = measured.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    classes = cut(classes, "dup-classes")
-    heads = measured.filter("n > 0").join(classes, ["d1", "d2", "n"]).filter("id = rep").dropDuplicates(["id", "n", "d1"])
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "dup-classes")
+    # of the rows with a class's smallest id, one is its head
+    first = measured.filter("n > 0").join(classes, ["d1", "d2", "n"]).filter("id = rep")
+    heads = cut(
+        first.groupBy("node").agg(
+            (F.count(F.lit(1)) > 1).alias("several"), *[F.first(c).alias(c) for c in (*KEY, "row", "n", "bits", "bands")]
+        ).withColumnsRenamed({"id": "rep", "node": "id"}),
+        "dup-heads",
+    )
     members = cut(heads.select("id", F.explode("bands").alias("band")), "dup-members")
     buckets = members.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").drop("last")
     # only classes in a bucket with others go on
@@ -157,8 +173,10 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     stars = shared.filter("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("together"))
     stars = cut(stars.join(of("b"), "b").join(of("a"), "a").filter(similar).select("a", "b", "together").distinct(), "dup-stars")
     wanted = shared.select("id").distinct()
-    own = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), "text").filter("text IS NOT NULL")
-    texts = cut(own.join(wanted, "id", "left_semi"), "dup-texts")
+    wanted = heads.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), F.col("rep").alias("id"), "h1", "h2", "several")
+    own = docs.filter("text IS NOT NULL").select(*key_of("doc_id", "text"), "text").join(wanted, KEY).select(F.col("node").alias("id"), "text", "several")
+    own = cut(own, "dup-texts")
+    texts = own.filter("NOT several").select("id", "text").unionByName(cut(own.filter("several").groupBy("id").agg(F.first("text").alias("text")), "dup-texts"))
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("together", -F.col("a"))).alias("a")).select("a", "b")
     tested = cut(best, "dup-tested")
@@ -182,18 +200,29 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
         links = cut(links.unionByName(verify(pairs, texts, percent)), "dup-links")
         tested = tested.unionByName(pairs)
     roots = cut(components(links), "dup-roots")
-    by_class = root_of(roots, classes, "rep", "root").select("d1", "d2", "n", "root")
-    out = measured.select("id", "n", "d1", "d2").join(by_class, ["d1", "d2", "n"], "left")
-    found = F.coalesce("root", "id")
-    plain = lambda c: F.when(c != NO_ID, c)
-    return out.select(plain(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), plain(found).alias("component_id"), (F.col("id") == found).alias("kept"))
+    by_class = root_of(roots, heads.select("id", "rep", "row", "several"), "id", "root")
+    kept = by_class.groupBy("root").agg(F.min("rep").alias("component"), F.min_by(F.struct("row", "several"), F.struct("rep", "id")).alias("best"))
+    kept = by_class.select(F.col("id").alias("node"), "root").join(kept, "root").select("node", "component", "best.*").withColumnRenamed("row", "best")
+    kept = cut(classes.join(kept, "node").drop("node", "rep"), "dup-kept")
+    linked = measured.filter("n > 0").join(kept, ["d1", "d2", "n"]).select(*KEY, "n", "component", (F.col("row") == F.col("best")).alias("kept"), "several")
+    bare = measured.filter("n = 0").select(*KEY, "row", "n")
+    once = bare.filter(F.col("id") != NO_ID).groupBy("id").agg(F.min("row").alias("best"), (F.count(F.lit(1)) > 1).alias("several"))
+    known = bare.filter(F.col("id") != NO_ID).join(once, "id").select(*KEY, "n", F.col("id").alias("component"), (F.col("row") == F.col("best")).alias("kept"), "several")
+    unknown = bare.filter(F.col("id") == NO_ID).select(*KEY, "n", F.col("id").alias("component"), F.lit(True).alias("kept"), F.lit(False).alias("several"))
+    return linked.unionByName(known).unionByName(unknown)
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept (see the module)."""
+    plain = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return resolve(docs, **options).select(plain("id").alias("doc_id"), F.col("n").alias("n_shingles"), plain("component").alias("component_id"), "kept")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows, with all their columns, of one document of each component; of rows that share its doc_id, one."""
-    found = cut(near_duplicates(docs, **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "kept"), "dup-found")
-    ids = found.filter("kept").groupBy("id").agg((F.count(F.lit(1)) > 1).alias("several"))
+    """The rows, with all their columns, of one document of each component; of rows that share its doc_id and text, one."""
+    found = cut(resolve(docs, **options).filter("kept"), "dup-found")
+    keys = found.groupBy(*KEY).agg(F.max("several").alias("several"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("id", F.coalesce("row.doc_id", F.lit(NO_ID)).cast("long")).join(ids, "id")
-    once = rows.filter("several").groupBy("id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
-    return rows.filter("NOT several").select("id", "row").unionByName(once).select("row.*")
+    rows = rows.select("row", *key_of("row.doc_id", "row.text")).join(keys, KEY)
+    once = rows.filter("several").groupBy(*KEY).agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return rows.filter("NOT several").select("row").unionByName(once.select("row")).select("row.*")

@@ -70,6 +70,19 @@ def test_near_duplicates_edges(edges, empty):
     assert near_duplicates(empty).count() == 0 and keep_one(empty).count() == 0
 
 
+def test_null_and_repeated_ids_with_different_texts_stay_apart(make):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    near = lambda s: text(s) + " end"
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (1, near("a")), (2, near("b")), (3, text("d")), (3, text("e")), (3, text("e").upper())]
+    rows += [(9, text("f")), (9, text("g")), (4, near("g")), (None, None), (None, ""), (5, None), (5, "")]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(make(rows)).collect()]
+    null = [g for g in got if g[0] is None and g[1]]
+    assert sorted(map(str, null)) == sorted(map(str, [(None, 36, 1, False), (None, 36, 2, False), (None, 36, None, True), (None, 36, None, False)]))
+    assert sorted(g[3] for g in got if g[0] == 3) == [False, True, True] and sorted(g[2:] for g in got if g[0] == 9) == [(4, False), (9, True)]
+    kept = sorted(((r["doc_id"], (r["text"] or "").lower()[:3]) for r in keep_one(make(rows)).collect()), key=str)
+    assert kept == sorted([(1, "a0 "), (2, "b0 "), (None, "c0 "), (3, "d0 "), (3, "e0 "), (4, "g0 "), (9, "f0 "), (None, ""), (None, ""), (5, "")], key=str)
+
+
 def test_signature_is_shifted_minimum():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 2**63, 9000).astype(np.uint64)
