@@ -53,15 +53,16 @@ def anonymize_parts(parts: DataFrame, rules: RuleSet, vault=None, counters=None,
     """Message parts by kind – ``text`` and ``tool_result`` anonymized as text,
     ``tool_call`` payloads anonymized as serialized JSON that must parse back
     (else rejected), ``binary`` passed through.  One vault for all parts.
-    ``parts``: conv_id, turn, part_kind, payload."""
+    ``parts``: conv_id, turn, part_no, part_kind, payload; a turn has any number of parts,
+    and ``part_no`` tells them apart and orders them."""
     from maskweave.operators.rewrite import reject_unparsable_json
 
     work = parts.filter(F.col("part_kind") != "binary")
-    res = anonymize(work, ["conv_id", "turn"], ["payload"], rules, vault, counters, scope=scope,
-                    order_cols=["conv_id", "turn"])
-    out = res.df.select("conv_id", "turn", "part_kind", "payload")
+    key = ["conv_id", "turn", "part_no"]
+    res = anonymize(work, key, ["payload"], rules, vault, counters, scope=scope, order_cols=key)
+    out = res.df.select(*key, "part_kind", "payload")
     calls = reject_unparsable_json(out.filter(F.col("part_kind") == "tool_call"), "payload")
     texts = out.filter(F.col("part_kind") != "tool_call").withColumn("rejected", F.lit(False))
-    binary = parts.filter(F.col("part_kind") == "binary").select("conv_id", "turn", "part_kind", "payload") \
+    binary = parts.filter(F.col("part_kind") == "binary").select(*key, "part_kind", "payload") \
         .withColumn("rejected", F.lit(False))
     return calls.unionByName(texts).unionByName(binary)

@@ -300,7 +300,8 @@ FROM conversations"""
 
 def q_anonymize_parts(spark, sf_dir):
     register(spark, sf_dir, "conversations")
-    out = cv.anonymize_parts(spark.sql(PARTS_SELECT), ruleset(spark, CORE_RULES))
+    parts = spark.sql(PARTS_SELECT).withColumn("part_no", F.lit(0))
+    out = cv.anonymize_parts(parts, ruleset(spark, CORE_RULES))
     return out.select("conv_id", "turn", "part_kind", "payload", "rejected")
 
 
