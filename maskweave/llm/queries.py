@@ -11,6 +11,7 @@ from maskweave.llm.circulant_minhash import near_duplicates
 from maskweave.llm.common import table
 from maskweave.llm.license_templates import scan_licenses
 from maskweave.llm.mixing import plan_mix
+from maskweave.llm.periodic_runs import run_digests
 from maskweave.llm.pii_bootstrap import find_personal_data
 from maskweave.llm.repair_codec import encode_and_read
 from maskweave.llm.sketch import fingerprint_documents
@@ -60,10 +61,14 @@ def op10_repair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_mix_sources, op2_threshold_sketch, op3_license_templates, op4_quality_gam, op5_langid_cnn, op6_pii_bootstrap, op7_circulant_minhash,
-              op8_va_file_search, op9_best_two_fit, op10_repair_codec)
+              op8_va_file_search, op9_best_two_fit, op10_repair_codec, op12_periodic_runs)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
