@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm import langid_cnn, quality_gam
+from maskweave.llm import grid_codes, langid_cnn, quality_gam
 from maskweave.llm.best_two_fit import pack
 from maskweave.llm.circulant_minhash import near_duplicates
 from maskweave.llm.common import table
@@ -61,6 +61,10 @@ def op10_repair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(table(spark, sf_dir, "documents"))
 
 
+def op11_grid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_mix_sources, op2_threshold_sketch, op3_license_templates, op4_quality_gam, op5_langid_cnn, op6_pii_bootstrap, op7_circulant_minhash,
-              op8_va_file_search, op9_best_two_fit, op10_repair_codec, op12_periodic_runs)
+              op8_va_file_search, op9_best_two_fit, op10_repair_codec, op11_grid_codes, op12_periodic_runs)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -86,4 +90,5 @@ s AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 20
 """,
+    "op11_grid_codes": grid_codes.SQL,
 }
