@@ -15,6 +15,7 @@ from maskweave.llm.periodic_runs import run_digests
 from maskweave.llm.pii_bootstrap import find_personal_data
 from maskweave.llm.repair_codec import encode_and_read
 from maskweave.llm.sketch import fingerprint_documents
+from maskweave.llm.suffix_dedup import drop_repeats
 from maskweave.llm.va_file import top_k
 
 
@@ -69,10 +70,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_mix_sources, op2_threshold_sketch, op3_license_templates, op4_quality_gam, op5_langid_cnn, op6_pii_bootstrap, op7_circulant_minhash,
-              op8_va_file_search, op9_best_two_fit, op10_repair_codec, op11_grid_codes, op12_periodic_runs)
+              op8_va_file_search, op9_best_two_fit, op10_repair_codec, op11_grid_codes, op12_periodic_runs, op13_suffix_dedup)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
