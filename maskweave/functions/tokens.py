@@ -51,7 +51,7 @@ def family_col(template: Column) -> Column:
 
 
 def letters(n: Column) -> Column:
-    """1→A … 26→Z, 27→AA … (bijective base 26), up to 7 letters."""
+    """1→A … 26→Z, 27→AA … (bijective base 26); 14 letters hold every 64-bit number."""
     init = F.struct(n.cast("long").alias("n"), F.lit("").alias("s"))
 
     def step(acc, _):
@@ -64,7 +64,12 @@ def letters(n: Column) -> Column:
             ),
         ).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), init, step, lambda acc: acc["s"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), init, step, lambda acc: acc["s"])
+
+
+def letters_number(word: Column) -> Column:
+    """The number that :func:`letters` prints as ``word``."""
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda n, c: n * 26 + F.when(c == "", 0).otherwise(F.ascii(c) - 64))
 
 
 def format_token(family: Column, n: Column) -> Column:
@@ -78,18 +83,32 @@ def format_token(family: Column, n: Column) -> Column:
     )
 
 
-def token_number_regex(family: str) -> str:
-    """Java regex with one group that reads the number back from a family token."""
+def canonical_family(family: Column) -> Column:
+    """A label shares its numbers with the format ``label_{index}``: both print ``label_2``."""
+    label = family.startswith("L:")
+    return F.when(label, F.concat(F.lit("N:"), F.substring(family, 3, 1 << 30), F.lit("_{index}"))).otherwise(family)
+
+
+def canonical_of(family: str) -> str:
+    """Driver-side twin of :func:`canonical_family`."""
+    return f"N:{family[2:]}_{{index}}" if family.startswith("L:") else family
+
+
+def token_number(family: str, token: Column) -> Column:
+    """The number with which a canonical family prints ``token``, else null."""
     import re as _re
 
-    kind, body = family[:2], family[2:]
-    if kind == "N:":
-        parts = body.split("{index}")
-        out = _re.escape(parts[0]) + "([1-9][0-9]*)"
-        for p in parts[1:-1]:
-            out += _re.escape(p) + "\\1"
-        out += _re.escape(parts[-1])
-        return "^" + out + "$"
-    if kind == "E:":
-        return ""  # letter form: numbers are not read back
-    return "^" + _re.escape(body) + "_([2-9]|[1-9][0-9]+)$"
+    if family == "E:":
+        word = F.regexp_extract(token, f"^{EMAIL_PREFIX}([A-Z]{{1,13}}){_re.escape(EMAIL_SUFFIX)}$", 1)
+        return F.when(word != "", letters_number(word))
+    parts = [_re.escape(p) for p in family[2:].split("{index}")]
+    shape = "^" + parts[0] + "([1-9][0-9]{0,17})" + "\\1".join(parts[1:]) + "$"
+    number = F.regexp_extract(token, shape, 1)
+    return F.when(number != "", number.cast("long"))
+
+
+def overlapping_formats(families: list[str]) -> bool:
+    """Whether two canonical families may print the same token: one's text before its number begins the other's."""
+    heads = sorted({canonical_of(f) for f in families}, key=lambda f: f[2:])
+    heads = sorted(EMAIL_PREFIX if f == "E:" else f[2:].split("{index}")[0] for f in heads)
+    return any(b.startswith(a) for a, b in zip(heads, heads[1:]))

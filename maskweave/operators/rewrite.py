@@ -1,28 +1,31 @@
-"""Rewriting text with tokens and back.
+"""Rewriting text with tokens and back.
 
 ``anonymize`` is the end-to-end job (C6):
 
-1. detect spans row-locally (C1–C3) and keep only (keys, order, spans) of rows
-   with a hit – no text – persisted because three consumers read it;
+1. detect spans row-locally (C1–C3); rows get an id of their own and are written
+   once, so that ids hold and the regexes run once per text;
 2. allocate tokens for the new values (C4, shuffles only (scope, value, ord));
 3. join every span to its token (hot values split off and broadcast);
-4. rows whose text matches any rule get their token list by key and are
-   rewritten; all other rows pass through without a shuffle.
+4. rows with spans get their token list by row id and are rewritten; all other
+   rows pass through without a shuffle.  A row whose tokens cannot be told for sure
+   is withheld, with its reason in ``rejects`` (C13).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskweave.functions.ruleset import RuleSet
 from maskweave.operators.joins import hot_split_join
-from maskweave.operators.spans import detect, rule_lookup
-from maskweave.operators.vault import allocate_tokens, empty_counters, empty_vault
+from maskweave.operators.known import MAX_CHARS, replace_in_text
+from maskweave.operators.spans import MANY, detect, rule_lookup
+from maskweave.operators.tables import written
+from maskweave.operators.vault import allocate_tokens, empty_counters, empty_vault, first_occurrences
 
 REPL = T.ArrayType(
     T.StructType(
@@ -54,8 +57,23 @@ def splice(text: Column, repl: Column) -> Column:
     return F.when(text.isNull(), text).when(F.coalesce(n, F.lit(0)) == 0, text).otherwise(spliced)
 
 
+def _many_spliced(texts: pd.Series, repls: pd.Series) -> pd.Series:
+    """Linear twin of :func:`splice` for texts with many spans; null for the others."""
+    out = []
+    for text, repl in zip(texts, repls):
+        if text is None or repl is None:
+            out.append(None)
+            continue
+        parts, done = [], 0
+        for x in repl:
+            parts += [text[done : x["start"]], x["token"]]
+            done = x["end"]
+        out.append("".join([*parts, text[done:]]))
+    return pd.Series(out, dtype=object)
+
+
 def detect_rows(base: DataFrame, text_cols: list[str], rules: RuleSet) -> DataFrame:
-    """Adds ``_spans{i}`` per text column; persisted by the caller so the rule
+    """Adds ``_spans{i}`` per text column; written by the caller so the rule
     regexes run exactly once per text (allocation, token join and rewrite all
     read the same detected rows)."""
     out = base
@@ -111,6 +129,7 @@ class Anonymized:
     new_vault: DataFrame  # rows allocated by this batch
     counters: DataFrame
     spans: DataFrame  # one row per rewritten span (keys, col_no, start, end, rule, value, token)
+    rejects: DataFrame  # keys and reason of the rows whose texts are withheld
 
 
 def anonymize(
@@ -129,75 +148,81 @@ def anonymize(
     """Detect → allocate → rewrite.  ``order_cols`` (integral or timestamp)
     give the processing order for numbering; inside a text, right to left.
 
-    It fails closed: the texts of rows with a null scope or key, and of rows with
-    spans that share their key, come out null, never as they were."""
+    It fails closed: the texts of rows with a null scope or key, of rows with
+    spans that share their key, and of rows that lack a token for a span come out
+    null, never as they were; ``rejects`` holds their keys and reasons."""
     spark = df.sparkSession
     vault = vault if vault is not None else empty_vault(spark)
     counters = counters if counters is not None else empty_counters(spark)
     order_cols = order_cols or key_cols
     scope_col = scope if isinstance(scope, Column) else F.lit(scope)
     base = df.withColumn("scope", scope_col)
-    # without scope and key a row cannot meet its tokens, so its texts are withheld
-    named = F.col("scope").isNotNull()
+    # without scope and key a row cannot be told apart, so its texts are withheld
+    no_key = F.lit(False)
     for k in key_cols:
-        named = named & F.col(k).isNotNull()
+        no_key = no_key | F.col(k).isNull()
+    base = base.withColumn("_reason", F.when(F.col("scope").isNull(), "null scope").when(no_key, "null key"))
     for c in text_cols:
-        base = base.withColumn(c, F.when(named, F.col(c)))
-
-    detected = detect_rows(base, text_cols, rules).persist(StorageLevel.MEMORY_AND_DISK)
-    occ = span_occurrences(detected, key_cols, order_cols, text_cols, rules)
-    if token_guard:
-        prior_tokens = vault.select("scope", F.col("token").alias("value"))
-        occ = occ.join(prior_tokens, ["scope", "value"], "left_anti")
-
-    new_rows, new_counters = allocate_tokens(
-        occ.select("scope", "value", "template", "ord"),
-        vault,
-        counters,
-        [r.family for r in rules.rules],
-        batch_id,
-    )
+        base = base.withColumn(c, F.when(F.col("_reason").isNull(), F.col(c)))
+
+    spans_names = [f"_spans{i}" for i in range(len(text_cols))]
+    found = detect_rows(base, text_cols, rules)
+    n_spans = sum((F.size(c) for c in spans_names), F.lit(0))
+    detected = written(found.withColumn("_n", n_spans).withColumn("_row", F.monotonically_increasing_id()), "detected")
+    hits = detected.filter("_n > 0")
+    occ = span_occurrences(hits, ["_row"], order_cols, text_cols, rules)
+    values = first_occurrences(occ.select("scope", "value", "template", "ord"))
+    guarded = None
+    if token_guard:  # a value that is a token of the prior vault stays as it is
+        values = written(values, "values")
+        prior = vault.select("scope", F.col("token").alias("value")).distinct()
+        guarded = values.join(prior, ["scope", "value"], "left_semi").select("scope", "value", F.lit(None).cast("string").alias("token"))
+        values = values.join(prior, ["scope", "value"], "left_anti")
+
+    new_rows, new_counters = allocate_tokens(values, vault, counters, [r.family for r in rules.rules], batch_id)
+    new_rows = written(new_rows, "new-tokens")
     full_vault = vault.unionByName(new_rows)
+    lookup = full_vault.select("scope", "value", "token")
+    if guarded is not None:
+        lookup = lookup.join(guarded.select("scope", "value"), ["scope", "value"], "left_anti").unionByName(guarded)
 
-    tokened = hot_split_join(
-        occ.drop("template", "ord"), full_vault.select("scope", "value", "token"), ["scope", "value"]
-    )
+    tokened = hot_split_join(occ.drop("template", "ord"), lookup, ["scope", "value"])
     pats = rule_lookup(rules, "pattern")
-    per_row = tokened.groupBy(*key_cols).agg(
-        F.sort_array(
-            F.collect_list(F.struct("col_no", "start", "end", "token", "value", "rule"))
-        ).alias("_repl")
+    item = F.struct("col_no", "start", "end", "token", "value", "rule")
+    per_row = tokened.groupBy("_row").agg(
+        F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), item))).alias("_repl"), F.count(F.lit(1)).alias("_known")
     )
 
     # only rows with spans meet the per-row token lists; the rest pass through
-    hit_filter = F.lit(False)
-    for col_no in range(len(text_cols)):
-        hit_filter = hit_filter | (F.size(f"_spans{col_no}") > 0)
-    spans_names = [f"_spans{i}" for i in range(len(text_cols))]
-    spans = sum((F.size(c) for c in spans_names), F.lit(0))
-    with_hits = detected.filter(hit_filter).withColumn("_n", spans).drop(*spans_names).join(per_row, key_cols, "left")
-    # more tokens than spans: the key names several rows, whose texts are withheld rather than mixed up
+    shared = written(hits.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1"), "shared-keys")
+    with_hits = hits.drop(*spans_names).join(per_row, "_row", "left")
+    reason = F.when(F.coalesce("_known", F.lit(0)) != F.col("_n"), F.lit("token missing"))
+    if not shared.isEmpty():
+        with_hits = with_hits.join(shared, key_cols, "left")
+        reason = F.when(F.col("_rows").isNotNull(), F.lit("shared key")).otherwise(reason)
+    with_hits = with_hits.withColumn("_reason", reason).drop("_known", "_rows", "_n", "_row")
     for c in text_cols:
-        with_hits = with_hits.withColumn(c, F.when(F.coalesce(F.size("_repl"), F.lit(0)) <= F.col("_n"), F.col(c)))
-    with_hits = with_hits.drop("_n")
-    no_hits = detected.filter(~hit_filter).drop(*spans_names).withColumn("_repl", F.lit(None))
+        with_hits = with_hits.withColumn(c, F.when(F.col("_reason").isNull(), F.col(c)))
+    no_hits = detected.filter("_n = 0").drop(*spans_names, "_n", "_row").withColumn("_repl", F.lit(None))
 
-    repl = F.coalesce(F.col("_repl"), F.array().cast(per_row.schema["_repl"].dataType))
+    some = F.when(F.col("_reason").isNull(), F.col("_repl"))
+    repl = F.coalesce(some, F.array().cast(per_row.schema["_repl"].dataType))
 
-    def finish(d: DataFrame) -> DataFrame:
+    def finish(d: DataFrame, hit: bool) -> DataFrame:
         d = d.withColumn("_repl", repl)
-        outs = []
-        for col_no, c in enumerate(text_cols):
+        if keep_original:
+            for c in text_cols:
+                d = d.withColumn(f"{c}_original", F.col(c))
+        for col_no, c in enumerate(text_cols if hit else []):
             mine = F.transform(
                 F.filter(F.col("_repl"), _col_is(col_no)),
                 lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token")),
             )
-            outs.append((c, splice(F.col(c), mine)))
-        if keep_original:
-            for c in text_cols:
-                d = d.withColumn(f"{c}_original", F.col(c))
-        for c, e in outs:
-            d = d.withColumn(c, e)
+            d = d.withColumn("_mine", mine)
+            large = F.size("_mine") > MANY
+            many = F.pandas_udf(_many_spliced, "string")
+            d = d.withColumn("_long", many(F.when(large, F.col(c)), F.when(large, F.col("_mine"))))
+            d = d.withColumn(c, F.when(large, F.col("_long")).otherwise(splice(F.col(c), F.col("_mine")))).drop("_mine", "_long")
         pairs = F.array_distinct(
             F.transform(F.col("_repl"), lambda x: F.struct(x["value"].alias("key"), x["token"].alias("value")))
         )
@@ -215,79 +240,26 @@ def anonymize(
             .drop("_repl", "scope")
         )
 
-    out = finish(with_hits).unionByName(finish(no_hits))
-    spans_out = tokened.select(*key_cols, "scope", "col_no", "start", "end", "rule", "value", "token")
-    return Anonymized(out, full_vault, new_rows, new_counters, spans_out)
-
-
-def token_shape_regex(families: list[str]) -> str:
-    """One Java regex that finds every token a family could print (a superset)."""
-    import re as _re
-
-    alts = []
-    for fam in families:
-        kind, body = fam[:2], fam[2:]
-        if kind == "N:":
-            alts.append("[0-9]+".join(_re.escape(p) for p in body.split("{index}")))
-        elif kind == "E:":
-            alts.append("USER_[A-Z]+@domain\\.tld")
-        else:
-            alts.append(_re.escape(body) + "(?:_[0-9]+)?")
-    alts.sort(key=len, reverse=True)
-    return "(?=(" + "|".join(alts) + "))" if alts else "(?!)"
-
-
-def fold_replace(text: Column, pairs: Column) -> Column:
-    """Literal replacement of each (token → value) pair in order (longest first)."""
-    return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["find"], p["put"]))
-
-
-def _apply_pairs(df: DataFrame, key_cols: list[str], text_col: str, hit: Column, per_row: DataFrame) -> DataFrame:
-    """Rows with ``hit`` get their sorted (find, put) pairs by key and are folded;
-    all other rows pass through without a shuffle."""
-    empty = F.array().cast(per_row.schema["_pairs"].dataType)
-    with_hits = (
-        df.filter(hit)
-        .join(per_row, key_cols, "left")
-        .withColumn(text_col, fold_replace(F.col(text_col), F.coalesce(F.col("_pairs"), empty)))
-        .drop("_pairs")
-    )
-    return with_hits.unionByName(df.filter(~hit))
+    out = finish(with_hits, True).unionByName(finish(no_hits, False))
+    rejects = out.filter(F.col("_reason").isNotNull()).select(*key_cols, F.col("_reason").alias("reason"))
+    spans_out = tokened.filter(F.col("token").isNotNull()).join(hits.select("_row", *key_cols), "_row")
+    spans_out = spans_out.select(*key_cols, "scope", "col_no", "start", "end", "rule", "value", "token")
+    return Anonymized(out.drop("_reason"), full_vault, new_rows, new_counters, spans_out, rejects)
 
 
-def restore(df: DataFrame, vault: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
-    """Tokens → values, longest token first, literal (no word boundary).
-
-    Only the tokens a row can contain are looked up: every position where a
-    family's token shape starts (and each of its prefixes, since ``IP_1`` is
-    restored inside ``IP_10`` when ``IP_10`` is unknown) is joined to the vault
-    by (scope, token); the vault is never shipped whole to a row.  ``df`` needs a
-    ``scope`` column.
+def restore(df: DataFrame, vault: DataFrame, key_cols: list[str], text_col: str, max_chars: int = MAX_CHARS) -> DataFrame:
+    """Tokens → values, longest token first, literal (no word boundary): ``IP_1`` is
+    restored inside ``IP_10`` when ``IP_10`` is unknown.  Forced tokens restore like others.
+    ``df`` needs a ``scope`` column; ``key_cols`` may hold anything.
     """
-    fams = [
-        r[0]
-        for r in vault.select("family").where(F.col("family").isNotNull()).distinct().limit(10_001).collect()
-    ]
-    if len(fams) > 10_000:
-        raise ValueError("too many token families for one shape regex")
-    rx = token_shape_regex(sorted(fams))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(rx), 1))
-    prefixes = F.array_distinct(
-        F.flatten(F.transform(found, lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: c.substr(F.lit(1), n))))
-    )
-    # shapes found once per row, persisted: read by the token join and the rewrite
-    df = df.withColumn("_found", prefixes).persist(StorageLevel.MEMORY_AND_DISK)
-    cand = df.select(*key_cols, "scope", F.explode_outer("_found").alias("token")).filter(F.col("token").isNotNull())
-    pairs = hot_split_join(cand, vault.select("scope", "token", "value"), ["scope", "token"])
-    per_row = pairs.groupBy(*key_cols).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct((-F.length("token")).alias("nl"), "token", "value"))),
-            lambda p: F.struct(p["token"].alias("find"), p["value"].alias("put")),
-        ).alias("_pairs")
-    )
-    hit = F.size("_found") > 0
-    return _apply_pairs(df, key_cols, text_col, hit, per_row).drop("_found")
+    pairs = vault.select("scope", F.col("token").alias("find"), F.col("value").alias("put"))
+    return replace_in_text(df, text_col, pairs, F.col("scope"), max_chars)
+
+
+def rehide(df: DataFrame, vault: DataFrame, text_col: str, max_chars: int = MAX_CHARS) -> DataFrame:
+    """Values → tokens, longest value first, literal and without rules.  ``df`` needs a ``scope`` column."""
+    pairs = vault.select("scope", F.col("value").alias("find"), F.col("token").alias("put"))
+    return replace_in_text(df, text_col, pairs, F.col("scope"), max_chars)
 
 
 def rules_fingerprint(rules: RuleSet) -> str:
@@ -298,15 +270,18 @@ def rules_fingerprint(rules: RuleSet) -> str:
     return hashlib.sha256(body.encode("utf-8")).hexdigest()
 
 
+def _content_hash(text_cols: list[str]) -> Column:
+    return F.sha2(F.concat_ws("\u0000", *[F.coalesce(F.col(c), F.lit("\u0002")) for c in text_cols]), 256)
+
+
 def content_keys(df: DataFrame, key_cols: list[str], text_cols: list[str], fingerprint: str) -> DataFrame:
     """(keys, content hash, rules fingerprint) of processed rows."""
-    h = F.sha2(F.concat_ws("\u0000", *[F.coalesce(F.col(c), F.lit("\u0002")) for c in text_cols]), 256)
-    return df.select(*key_cols, h.alias("content_hash"), F.lit(fingerprint).alias("rules_fp"))
+    return df.select(*key_cols, _content_hash(text_cols).alias("content_hash"), F.lit(fingerprint).alias("rules_fp"))
 
 
 def changed_rows(df: DataFrame, done: DataFrame, key_cols: list[str], text_cols: list[str], fingerprint: str) -> DataFrame:
     """Only rows whose (content hash, rules fingerprint) is not in ``done``."""
-    keyed = df.join(content_keys(df, key_cols, text_cols, fingerprint), key_cols)
+    keyed = df.withColumn("content_hash", _content_hash(text_cols)).withColumn("rules_fp", F.lit(fingerprint))
     return keyed.join(done, [*key_cols, "content_hash", "rules_fp"], "left_anti").drop("content_hash", "rules_fp")
 
 
@@ -321,6 +296,7 @@ def quarantine(df: DataFrame, text_col: str, max_chars: int | None = None) -> tu
 
 
 def reject_unparsable_json(df: DataFrame, col: str) -> DataFrame:
-    """An anonymized payload must parse back, else the row is rejected (value nulled)."""
-    ok = F.try_parse_json(F.col(col)).isNotNull()
+    """An anonymized payload must parse back to an object or an array, else the row is rejected (value nulled)."""
+    kind = F.schema_of_variant(F.try_parse_json(F.col(col)))
+    ok = F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
     return df.withColumn("rejected", ~ok).withColumn(col, F.when(ok, F.col(col)))

@@ -7,6 +7,9 @@ shuffle is needed and the text never leaves its task.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,12 +88,56 @@ def _tag(prio: int, idx: int):
     return f
 
 
+#: Matches of a text beyond which its arrays are folded in one Arrow pass instead of by nested expressions.
+MANY = 64
+
+
+def _many_offsets(matches: pd.Series, pieces: pd.Series) -> pd.Series:
+    """Linear twin of :func:`offsets_from`; null where the text has few matches."""
+    out = []
+    for m, p in zip(matches, pieces):
+        if m is None:
+            out.append(None)
+            continue
+        sizes = [len(x) for x in m]
+        gaps = [len(x) for x in p]
+        gaps = [0, *gaps] if len(gaps) == len(sizes) else gaps
+        place, row = 0, []
+        for gap, size, value in zip(gaps, sizes, m):
+            place += gap
+            row.append({"start": place, "end": place + size, "value": value})
+            place += size
+        out.append(row)
+    return pd.Series(out, dtype=object)
+
+
+def _many_resolved(candidates: pd.Series) -> pd.Series:
+    """Linear twin of the greedy fold: kept spans in start order, looked up by bisection."""
+    out = []
+    for spans in candidates:
+        if spans is None:
+            out.append(None)
+            continue
+        starts: list[int] = []
+        kept: list[dict] = []
+        for s in sorted(spans, key=lambda s: (s["prio"], s["start"], s["end"], s["rule"])):
+            at = bisect_left(starts, s["start"])
+            if (at and kept[at - 1]["end"] > s["start"]) or (at < len(starts) and starts[at] < s["end"]):
+                continue
+            starts.insert(at, s["start"])
+            kept.insert(at, {"start": s["start"], "end": s["end"], "rule": s["rule"], "value": s["value"]})
+        out.append(kept)
+    return pd.Series(out, dtype=object)
+
+
 def with_candidates(df: DataFrame, text_col: str, rules: RuleSet, out: str = "_cand") -> DataFrame:
     """Every candidate match of every rule (zero-length matches dropped).
 
     Per rule a cheap ``rlike`` gate, then matches and pieces as their own
-    columns so each regex pass runs once per row.
+    columns so each regex pass runs once per row.  Texts with more than ``MANY``
+    matches of a rule get their offsets in a linear Arrow pass.
     """
+    many = F.pandas_udf(_many_offsets, _OFFSETS)
     safe = F.coalesce(F.col(text_col), F.lit(""))
     tmp, parts = [], []
     for r in rules.rules:
@@ -100,8 +147,12 @@ def with_candidates(df: DataFrame, text_col: str, rules: RuleSet, out: str = "_c
                 F.array().cast(_STR_ARRAY))
         )
         df = df.withColumn(pc, F.when(F.size(mc) > 0, F.split(safe, r.regex, -1)).otherwise(F.array().cast(_STR_ARRAY)))
-        tmp += [mc, pc]
-        parts.append(F.transform(offsets_from(F.col(mc), F.col(pc)), _tag(r.prio, r.idx)))
+        oc = f"_o{r.idx}_{out}"
+        few = F.size(mc) <= MANY
+        df = df.withColumn(oc, many(F.when(~few, F.col(mc)), F.when(~few, F.col(pc))))
+        tmp += [mc, pc, oc]
+        offsets = F.when(few, offsets_from(F.col(mc), F.col(pc))).otherwise(F.col(oc))
+        parts.append(F.transform(offsets, _tag(r.prio, r.idx)))
     if not parts:
         return df.withColumn(out, F.array().cast(SPANS))
     allspans = F.concat(*parts) if len(parts) > 1 else parts[0]
@@ -124,7 +175,8 @@ def with_resolved(df: DataFrame, cand_col: str, out: str) -> DataFrame:
 
     Fast path: when no two start-adjacent spans overlap, nothing overlaps at all
     and every candidate is kept (one linear check).  Otherwise a fold in priority
-    order keeps a span only if it overlaps no kept span.
+    order keeps a span only if it overlaps no kept span; texts with more than ``MANY``
+    candidates fold in an Arrow pass over a sorted list.
     """
     oc = f"_ord_{out}"
     df = df.withColumn(oc, _by_start(F.col(cand_col)))
@@ -140,7 +192,12 @@ def with_resolved(df: DataFrame, cand_col: str, out: str) -> DataFrame:
             F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"])), acc
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return df.withColumn(out, F.when(clean, ordered).otherwise(_by_start(greedy))).drop(oc)
+    cc, mc = f"_clean_{out}", f"_many_{out}"
+    many = F.pandas_udf(_many_resolved, T.ArrayType(ACCEPTED))
+    df = df.withColumn(cc, clean)
+    df = df.withColumn(mc, many(F.when(~F.col(cc) & (n > MANY), F.col(cand_col))))
+    folded = F.when(F.col(mc).isNotNull(), F.col(mc)).otherwise(_by_start(greedy))
+    return df.withColumn(out, F.when(F.col(cc), ordered).otherwise(folded)).drop(oc, cc, mc)
 
 
 def find_spans(df: DataFrame, text_col: str, rules: RuleSet, out: str = "spans") -> DataFrame:
@@ -159,20 +216,3 @@ def rule_lookup(rules: RuleSet, what: str) -> Column:
     if not vals:
         return F.array().cast(T.ArrayType(T.StringType()))
     return F.array(*[F.lit(v) for v in vals])
-
-
-def explode_spans(df: DataFrame, spans_col: str, rules: RuleSet, keep: list[str]) -> DataFrame:
-    """One row per accepted span with its rule's pattern and template."""
-    pats = rule_lookup(rules, "pattern")
-    tmpl = rule_lookup(rules, "replacement")
-    ex = df.select(*keep, F.posexplode_outer(spans_col).alias("span_no", "s")).filter(F.col("s").isNotNull())
-    return ex.select(
-        *keep,
-        "span_no",
-        F.col("s.start").alias("start"),
-        F.col("s.end").alias("end"),
-        F.col("s.rule").alias("rule"),
-        F.get(pats, F.col("s.rule")).alias("pattern"),
-        F.get(tmpl, F.col("s.rule")).alias("template"),
-        F.col("s.value").alias("value"),
-    )

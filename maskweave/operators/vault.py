@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskweave.functions.tokens import family_col, format_token, token_number_regex
-from maskweave.operators.joins import MAX_BROADCAST_ROWS, two_level_rank
+from maskweave.functions.tokens import canonical_family, canonical_of, family_col, format_token, overlapping_formats, token_number
+from maskweave.operators.joins import two_level_rank
+from maskweave.operators.tables import written
 
 VAULT_SCHEMA = T.StructType(
     [
@@ -53,6 +54,24 @@ def first_occurrences(occ: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(new: DataFrame, taken: DataFrame, start: DataFrame) -> DataFrame:
+    """``new`` (scope, class, ord, value, ...) with ``idx``: consecutive numbers of each (scope, class) in order,
+    from above ``start`` (scope, class, c), leaving out the numbers of ``taken`` (scope, class, t)."""
+    key = ["scope", "class"]
+    ranked = two_level_rank(new.withColumn("_by", F.struct("ord", "value")), key, "_by", out="r").drop("_by")
+    ranked = ranked.join(start, key, "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
+    above = taken.join(start, key, "left").filter(F.col("t") > F.coalesce("c", F.lit(0))).select(*key, "t", F.coalesce("c", F.lit(0)).alias("c"))
+    above = written(above.distinct(), "taken-numbers")
+    if above.isEmpty():
+        return ranked.withColumn("idx", F.col("c") + F.col("r")).drop("r", "c")
+    # the j-th number taken stands before the new value of rank t - c - j + 1: rank values and taken numbers together
+    holes = two_level_rank(above, key, "t", out="j").select(*key, (F.col("t") - F.col("c") - F.col("j") + 1).alias("r"), F.lit(0).alias("kind"), F.col("t").alias("tie"))
+    rows = ranked.withColumn("kind", F.lit(1)).withColumn("tie", F.lit(0).cast("long"))
+    both = rows.unionByName(holes, allowMissingColumns=True).withColumn("_by", F.struct("r", "kind", "tie"))
+    both = two_level_rank(both, key, "_by", out="total").filter("kind = 1")
+    return both.withColumn("idx", F.col("c") + F.col("total")).drop("r", "c", "kind", "tie", "_by", "total")
+
+
 def allocate_tokens(
     occ: DataFrame,
     vault: DataFrame,
@@ -62,69 +81,45 @@ def allocate_tokens(
 ) -> tuple[DataFrame, DataFrame]:
     """C4: tokens for all values of ``occ`` not yet in ``vault``.
 
-    Values are numbered within their family in first-occurrence order, continuing
+    Values are numbered within their class in first-occurrence order, continuing
     from the stored counters and skipping numbers whose token is already taken.
+    A class is the formats that print the same token for the same number (a label and
+    ``label_{index}``): they share numbers, but a label's first value is the bare label.
+    Formats that may print the same token for different numbers (``A{index}`` and
+    ``A1{index}``) are numbered apart; then every token that is held twice goes on to the
+    next free numbers, until none is.  So (scope, token) is unique, forced tokens included.
     Returns (new vault rows, new counters).
     """
+    key = ["scope", "class"]
     firsts = first_occurrences(occ)
     new = firsts.join(vault.select("scope", "value"), ["scope", "value"], "left_anti")
-    new = new.withColumn("family", family_col(F.col("template")))
-
-    fam_counter = (
-        counters.withColumn("family", family_col(F.col("template")))
-        .groupBy("scope", "family")
-        .agg(F.max("n").alias("c"))
-    )
-
-    ranked = two_level_rank(new, ["scope", "family"], "ord", out="r")
-
-    # numbers already taken above the family counter (forced tokens, other templates)
-    readers = [(f, token_number_regex(f)) for f in sorted(set(families))]
-    readers = [(f, rx) for f, rx in readers if rx]
-    if readers:
-        parsed = vault.select(
-            "scope",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(f).alias("family"), F.regexp_extract("token", rx, 1).alias("num"))
-                        for f, rx in readers
-                    ]
-                )
-            ).alias("p"),
-        ).select("scope", F.col("p.family").alias("family"), F.col("p.num").alias("num"))
-        taken = (
-            parsed.filter(F.col("num") != "")
-            .select("scope", "family", F.col("num").cast("long").alias("t"))
-            .distinct()
-            .join(fam_counter, ["scope", "family"], "left")
-            .filter(F.col("t") > F.coalesce(F.col("c"), F.lit(0)))
-        )
-        wt = Window.partitionBy("scope", "family").orderBy("t")
-        taken = taken.withColumn(
-            "d", F.col("t") - F.coalesce(F.col("c"), F.lit(0)) - (F.row_number().over(wt) - 1)
-        )
-        gaps = taken.groupBy("scope", "family").agg(F.sort_array(F.collect_list("d")).alias("gaps"))
-        n_taken = taken.count()
-        if n_taken > MAX_BROADCAST_ROWS:
-            raise ValueError("too many forced tokens above the counters to skip exactly")
-        ranked = ranked.join(F.broadcast(gaps), ["scope", "family"], "left")
-    else:
-        ranked = ranked.withColumn("gaps", F.array().cast(T.ArrayType(T.LongType())))
-
-    ranked = ranked.join(fam_counter, ["scope", "family"], "left")
-    skipped = F.size(F.filter(F.coalesce(F.col("gaps"), F.array().cast("array<bigint>")), lambda d: d < F.col("r")))
-    n = F.coalesce(F.col("c"), F.lit(0)) + F.col("r") + skipped
-    new_rows = ranked.select(
-        "scope",
-        "value",
-        format_token(F.col("family"), n).alias("token"),
-        "template",
-        "family",
-        n.cast("long").alias("idx"),
-        F.lit(batch_id).cast("long").alias("batch_id"),
-        "ord",
-    )
+    new = written(new.withColumn("family", family_col(F.col("template"))).withColumn("class", canonical_family(F.col("family"))), "new-values")
+
+    stored = counters.withColumn("family", family_col(F.col("template"))).withColumn("class", canonical_family(F.col("family")))
+    start = stored.groupBy(*key).agg(F.max("n").alias("c"))
+
+    # numbers that tokens in the vault hold, as each class reads them
+    classes = sorted({canonical_of(f) for f in families})
+    read = F.array(*[F.struct(F.lit(c).alias("class"), token_number(c, F.col("token")).alias("t")) for c in classes]) if classes else F.array().cast("array<struct<class:string,t:bigint>>")
+    taken = vault.select("scope", F.explode(F.filter(read, lambda x: x["t"].isNotNull())).alias("x")).select("scope", "x.class", "x.t")
+
+    labels = [f for f in families if f.startswith("L:")]
+    if labels:
+        firsts = _unnumbered(new, stored, vault, taken, shared={canonical_of(f) for f in labels} & {f for f in families if not f.startswith("L:")})
+        new = written(new.join(firsts, ["scope", "value"], "left"), "new-values")
+        # where a class has labels, its other values are numbered from 2
+        least = new.filter(F.col("family").startswith("L:")).select(*key, F.lit(1).cast("long").alias("c"))
+        start = start.unionByName(least).groupBy(*key).agg(F.max("c").alias("c"))
+        first = new.filter(F.col("token").isNotNull()).withColumn("idx", F.lit(1).cast("long"))
+        new = new.filter(F.col("token").isNull()).drop("token")
+    rows = _numbered(new, taken, start)
+    rows = rows.withColumn("token", format_token(F.col("class"), F.col("idx")))
+    if labels:
+        rows = rows.unionByName(first)
+
+    if overlapping_formats(families):
+        rows = _unique(written(rows, "tokens"), vault)
+    new_rows = rows.select("scope", "value", "token", "template", "family", "idx", F.lit(batch_id).cast("long").alias("batch_id"), "ord")
     new_counters = (
         new_rows.groupBy("scope", "template")
         .agg(F.max("idx").alias("n"))
@@ -135,6 +130,39 @@ def allocate_tokens(
     return new_rows, new_counters
 
 
+def _unnumbered(new: DataFrame, stored: DataFrame, vault: DataFrame, taken: DataFrame, shared: set[str]) -> DataFrame:
+    """(scope, value, token) of the values that take no number of their class: a label's first value is the bare
+    label, and the first value of ``label_{index}`` is ``label_1``, which labels never print."""
+    is_label = F.col("family").startswith("L:")
+    one = F.min(F.struct("ord", "value"))["value"].alias("value")
+    bare = new.filter(is_label).groupBy("scope", "family").agg(one).join(stored.select("scope", "family"), ["scope", "family"], "left_anti")
+    bare = bare.select("scope", "value", F.substring(F.col("family"), 3, 1 << 30).alias("token"))
+    bare = bare.join(vault.select("scope", "token"), ["scope", "token"], "left_anti")
+    if not shared:
+        return bare.select("scope", "value", "token")
+    numbered = new.filter(~is_label & F.col("class").isin(*shared)).groupBy("scope", "class").agg(one)
+    numbered = numbered.join(stored.filter(~is_label).select("scope", "class"), ["scope", "class"], "left_anti")
+    numbered = numbered.join(taken.filter("t = 1").select("scope", "class"), ["scope", "class"], "left_anti")
+    return bare.select("scope", "value", "token").unionByName(numbered.select("scope", "value", format_token(F.col("class"), F.lit(1)).alias("token")))
+
+
+def _unique(rows: DataFrame, vault: DataFrame) -> DataFrame:
+    """``rows`` with tokens that are held twice moved to numbers above their class's, round by round."""
+    while True:
+        held = rows.select("scope", "token", F.struct(F.lit(1).alias("new"), "ord", "value").alias("who"))
+        held = held.unionByName(vault.select("scope", "token", F.struct(F.lit(0).alias("new"), F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"), "value").alias("who")))
+        keeps = held.groupBy("scope", "token").agg(F.min("who").alias("who"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        twice = rows.join(keeps, ["scope", "token"]).filter((F.col("who.new") == 0) | (F.col("who.value") != F.col("value"))).drop("who", "n")
+        twice = written(twice, "tokens-twice")
+        if twice.isEmpty():
+            return rows
+        key = ["scope", "class"]
+        top = rows.groupBy(*key).agg(F.max("idx").alias("c"))
+        none = top.select("scope", "class", F.col("c").alias("t")).limit(0)
+        moved = _numbered(twice.drop("idx", "token"), none, top).withColumn("token", format_token(F.col("class"), F.col("idx")))
+        rows = written(rows.join(twice.select("scope", "value"), ["scope", "value"], "left_anti").unionByName(moved.select(*rows.columns)), "tokens")
+
+
 def vault_list(vault: DataFrame) -> DataFrame:
     """All pairs in insertion order (ordering applied by the caller's sort)."""
     return vault.select("scope", "value", "token", "batch_id", "ord").orderBy("scope", "batch_id", "ord")
