@@ -15,7 +15,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from maskweave.functions.ruleset import RuleSet
 from maskweave.operators.joins import hot_split_join
 from maskweave.operators.known import MAX_CHARS, replace_in_text
-from maskweave.operators.spans import MANY, detect, rule_lookup
+from maskweave.operators.spans import detect, rule_lookup
 from maskweave.operators.tables import written
 from maskweave.operators.vault import allocate_tokens, empty_counters, empty_vault, first_occurrences
 
@@ -38,38 +39,33 @@ REPL = T.ArrayType(
 )
 
 
-def splice(text: Column, repl: Column) -> Column:
-    """Replace each (start, end) of a start-sorted, non-overlapping array by its token.
+def _spliced(col_no: int):
+    def run(texts: pa.Array, repls: pa.Array) -> pa.Array:
+        ends = np.cumsum(repls.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        items = repls.flatten()
+        starts, stops, tokens, cols = (items.field(f).to_pylist() for f in ("start", "end", "token", "col_no"))
+        out, at = [], 0
+        for text, stop in zip(texts.to_pylist(), ends):
+            mine = [i for i in range(at, stop) if cols[i] == col_no]
+            at = stop
+            if text is not None and mine:
+                parts, done = [], 0
+                for i in mine:
+                    parts += [text[done : starts[i]], tokens[i]]
+                    done = stops[i]
+                text = "".join([*parts, text[done:]])
+            out.append(text)
+        return pa.array(out, pa.string())
 
-    ``text`` must be a plain column: it is read inside a lambda.
+    return run
+
+
+def splice(text: Column, repl: Column, col_no: int) -> Column:
+    """Each (start, end) of the text's own items in ``repl`` replaced by its token, in one pass from left to right.
+
+    ``repl`` is sorted and its items do not overlap.
     """
-    n = F.size(repl)
-    prev = F.concat(F.array(F.lit(0)), F.transform(repl, lambda x: x["end"]))
-    pieces = F.zip_with(
-        repl,
-        prev,
-        lambda cur, pe: F.when(cur.isNull(), F.lit("")).otherwise(
-            F.concat(text.substr(pe + 1, cur["start"] - pe), cur["token"])
-        ),
-    )
-    last_end = F.element_at(prev, -1)
-    spliced = F.concat(F.array_join(pieces, ""), text.substr(last_end + 1, F.lit(2147483647)))
-    return F.when(text.isNull(), text).when(F.coalesce(n, F.lit(0)) == 0, text).otherwise(spliced)
-
-
-def _many_spliced(texts: pd.Series, repls: pd.Series) -> pd.Series:
-    """Linear twin of :func:`splice` for texts with many spans; null for the others."""
-    out = []
-    for text, repl in zip(texts, repls):
-        if text is None or repl is None:
-            out.append(None)
-            continue
-        parts, done = [], 0
-        for x in repl:
-            parts += [text[done : x["start"]], x["token"]]
-            done = x["end"]
-        out.append("".join([*parts, text[done:]]))
-    return pd.Series(out, dtype=object)
+    return F.arrow_udf(_spliced(col_no), "string")(text, repl)
 
 
 def detect_rows(base: DataFrame, text_cols: list[str], rules: RuleSet) -> DataFrame:
@@ -118,10 +114,6 @@ def span_occurrences(
     return out
 
 
-def _col_is(col_no: int):
-    return lambda x: x["col_no"] == col_no
-
-
 @dataclass
 class Anonymized:
     df: DataFrame  # input rows with text columns rewritten + mappings and stats
@@ -214,15 +206,7 @@ def anonymize(
             for c in text_cols:
                 d = d.withColumn(f"{c}_original", F.col(c))
         for col_no, c in enumerate(text_cols if hit else []):
-            mine = F.transform(
-                F.filter(F.col("_repl"), _col_is(col_no)),
-                lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token")),
-            )
-            d = d.withColumn("_mine", mine)
-            large = F.size("_mine") > MANY
-            many = F.pandas_udf(_many_spliced, "string")
-            d = d.withColumn("_long", many(F.when(large, F.col(c)), F.when(large, F.col("_mine"))))
-            d = d.withColumn(c, F.when(large, F.col("_long")).otherwise(splice(F.col(c), F.col("_mine")))).drop("_mine", "_long")
+            d = d.withColumn(c, splice(F.col(c), F.col("_repl"), col_no))
         pairs = F.array_distinct(
             F.transform(F.col("_repl"), lambda x: F.struct(x["value"].alias("key"), x["token"].alias("value")))
         )

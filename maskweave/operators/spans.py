@@ -1,213 +1,115 @@
 """Candidate spans, overlap resolution, detection.
 
-All of it is row-local: one text row yields an array of span structs built from
-``regexp_extract_all`` (the matches) and ``split`` (the text between them), so no
-shuffle is needed and the text never leaves its task.
+All of it is row-local.  The JVM's regular expressions give the matches of every
+rule (``regexp_extract_all``) and the text between them (``split``); one Arrow pass per
+batch turns these into offsets and resolves overlaps with array operations, so its work is
+linear in the matches.  No shuffle is needed and the text never leaves its task.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskweave.functions.ruleset import RuleSet
 
-SPAN = T.StructType(
-    [
-        T.StructField("prio", T.IntegerType()),
-        T.StructField("start", T.IntegerType()),
-        T.StructField("end", T.IntegerType()),
-        T.StructField("rule", T.IntegerType()),
-        T.StructField("value", T.StringType()),
-    ]
-)
-SPANS = T.ArrayType(SPAN)
-# accepted spans are kept in start order, so start leads the struct
-ACCEPTED = T.StructType(
-    [
-        T.StructField("start", T.IntegerType()),
-        T.StructField("end", T.IntegerType()),
-        T.StructField("rule", T.IntegerType()),
-        T.StructField("value", T.StringType()),
-    ]
-)
-
-
-def _empty(dtype) -> Column:
-    return F.array().cast(T.ArrayType(dtype))
-
-
-_STR_ARRAY = T.ArrayType(T.StringType())
-_OFFSETS = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("start", T.IntegerType()),
-            T.StructField("end", T.IntegerType()),
-            T.StructField("value", T.StringType()),
-        ]
-    )
-)
-
-
-def offsets_from(m: Column, p0: Column) -> Column:
-    """Matches ``m`` (regexp_extract_all) + pieces ``p0`` (split) → array<start,end,value>.
-
-    Both inputs should be plain columns: they are read more than once.  The
-    lambdas only touch lambda variables (an outer expression referenced inside a
-    lambda is re-evaluated for every element).
-    """
-    # java drops the leading empty piece only for a zero-width match at offset 0
-    p = F.when(F.size(p0) == F.size(m), F.concat(F.array(F.lit("")), p0)).otherwise(p0)
-    pairs = F.zip_with(m, p, lambda mt, pc: F.struct(F.length(pc).alias("pl"), mt.alias("v")))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(_OFFSETS).alias("out"))
-
-    def step(acc, x):
-        st = acc["pos"] + x["pl"]
-        en = st + F.coalesce(F.length(x["v"]), F.lit(0))
-        item = F.struct(st.cast("int").alias("start"), en.cast("int").alias("end"), x["v"].alias("value"))
-        out = F.when(x["v"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(item)))
-        return F.struct(en.alias("pos"), out.alias("out"))
-
-    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
-
-
-def _tag(prio: int, idx: int):
-    def f(h):
-        return F.struct(
-            F.lit(prio).alias("prio"),
-            h["start"].alias("start"),
-            h["end"].alias("end"),
-            F.lit(idx).alias("rule"),
-            h["value"].alias("value"),
-        )
-
-    return f
-
-
-#: Matches of a text beyond which its arrays are folded in one Arrow pass instead of by nested expressions.
-MANY = 64
-
-
-def _many_offsets(matches: pd.Series, pieces: pd.Series) -> pd.Series:
-    """Linear twin of :func:`offsets_from`; null where the text has few matches."""
-    out = []
-    for m, p in zip(matches, pieces):
-        if m is None:
-            out.append(None)
+#: Spans in start order.
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("rule", pa.int32()), ("value", pa.string())]))
+SPANS_DDL = "array<struct<start: int, end: int, rule: int, value: string>>"
+
+
+def _list_parts(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(items of each row, all items, running sum of the items' lengths in code points)."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    lengths = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, flat, np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _offsets(matches: pa.Array, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, start, end, value) of all matches, from the text between them."""
+    sizes, values, inside = _list_parts(matches)
+    gap_sizes, _, between = _list_parts(pieces)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    first, gap_first = np.cumsum(sizes) - sizes, np.cumsum(gap_sizes) - gap_sizes
+    at = np.arange(len(row))
+    # the leading empty piece is only missing for a match of no length at the text's start
+    gaps = at - first[row] + 1 - (gap_sizes == sizes)[row]
+    start = between[gap_first[row] + gaps] - between[gap_first[row]] + inside[at] - inside[first[row]]
+    return row, start, start + inside[at + 1] - inside[at], values
+
+
+def _greedy(prio: list[int], start: list[int], end: list[int]) -> list[int]:
+    """Kept candidates of one text: by priority, then start; one that overlaps a kept one blocks nothing."""
+    starts: list[int] = []
+    ends: list[int] = []
+    kept: list[int] = []
+    for i in sorted(range(len(prio)), key=lambda i: (prio[i], start[i], end[i])):
+        at = bisect_left(starts, start[i])
+        if (at and ends[at - 1] > start[i]) or (at < len(starts) and starts[at] < end[i]):
             continue
-        sizes = [len(x) for x in m]
-        gaps = [len(x) for x in p]
-        gaps = [0, *gaps] if len(gaps) == len(sizes) else gaps
-        place, row = 0, []
-        for gap, size, value in zip(gaps, sizes, m):
-            place += gap
-            row.append({"start": place, "end": place + size, "value": value})
-            place += size
-        out.append(row)
-    return pd.Series(out, dtype=object)
-
-
-def _many_resolved(candidates: pd.Series) -> pd.Series:
-    """Linear twin of the greedy fold: kept spans in start order, looked up by bisection."""
-    out = []
-    for spans in candidates:
-        if spans is None:
-            out.append(None)
-            continue
-        starts: list[int] = []
-        kept: list[dict] = []
-        for s in sorted(spans, key=lambda s: (s["prio"], s["start"], s["end"], s["rule"])):
-            at = bisect_left(starts, s["start"])
-            if (at and kept[at - 1]["end"] > s["start"]) or (at < len(starts) and starts[at] < s["end"]):
-                continue
-            starts.insert(at, s["start"])
-            kept.insert(at, {"start": s["start"], "end": s["end"], "rule": s["rule"], "value": s["value"]})
-        out.append(kept)
-    return pd.Series(out, dtype=object)
-
-
-def with_candidates(df: DataFrame, text_col: str, rules: RuleSet, out: str = "_cand") -> DataFrame:
-    """Every candidate match of every rule (zero-length matches dropped).
-
-    Per rule a cheap ``rlike`` gate, then matches and pieces as their own
-    columns so each regex pass runs once per row.  Texts with more than ``MANY``
-    matches of a rule get their offsets in a linear Arrow pass.
-    """
-    many = F.pandas_udf(_many_offsets, _OFFSETS)
+        starts.insert(at, start[i])
+        ends.insert(at, end[i])
+        kept.append(i)
+    return kept
+
+
+def _spans_of(columns: list[pa.Array], rules: list[tuple[int, int]], resolve: bool) -> pa.Array:
+    """The spans of every text from (matches, pieces) of each rule (its number and priority)."""
+    found = [_offsets(columns[2 * i], columns[2 * i + 1]) for i in range(len(rules))]
+    row, start, end = (np.concatenate([f[k] for f in found]) for k in range(3))
+    rule, prio = (np.repeat([r[k] for r in rules], [len(f[0]) for f in found]) for k in range(2))
+    order = np.lexsort((rule, end, start, row))
+    order = order[end[order] > start[order]]
+    if resolve:
+        r, s, e = row[order], start[order], end[order]
+        clash = np.unique(r[1:][(r[1:] == r[:-1]) & (s[1:] < e[:-1])])  # texts where neighbours overlap
+        keep = np.ones(len(order), bool)
+        for text in clash.tolist():
+            a, b = np.searchsorted(r, [text, text + 1])
+            keep[a:b] = False
+            keep[a + np.array(_greedy(prio[order[a:b]].tolist(), s[a:b].tolist(), e[a:b].tolist()))] = True
+        order = order[keep]
+    values = pa.concat_arrays([f[3].cast(pa.string()) for f in found]).take(pa.array(order))
+    numbers = [pa.array(c[order], pa.int32()) for c in (start, end, rule)]
+    spans = pa.StructArray.from_arrays([*numbers, values], fields=list(SPANS.value_type))
+    ends = np.searchsorted(row[order], np.arange(len(columns[0]) + 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
+
+
+def _with_spans(df: DataFrame, text_col: str, rules: RuleSet, out: str, resolve: bool) -> DataFrame:
+    if not rules.rules:
+        return df.withColumn(out, F.array().cast(SPANS_DDL))
     safe = F.coalesce(F.col(text_col), F.lit(""))
-    tmp, parts = [], []
-    for r in rules.rules:
-        mc, pc = f"_m{r.idx}_{out}", f"_p{r.idx}_{out}"
-        df = df.withColumn(
-            mc, F.when(safe.rlike(r.regex), F.regexp_extract_all(safe, F.lit(r.regex), 0)).otherwise(
-                F.array().cast(_STR_ARRAY))
-        )
-        df = df.withColumn(pc, F.when(F.size(mc) > 0, F.split(safe, r.regex, -1)).otherwise(F.array().cast(_STR_ARRAY)))
-        oc = f"_o{r.idx}_{out}"
-        few = F.size(mc) <= MANY
-        df = df.withColumn(oc, many(F.when(~few, F.col(mc)), F.when(~few, F.col(pc))))
-        tmp += [mc, pc, oc]
-        offsets = F.when(few, offsets_from(F.col(mc), F.col(pc))).otherwise(F.col(oc))
-        parts.append(F.transform(offsets, _tag(r.prio, r.idx)))
-    if not parts:
-        return df.withColumn(out, F.array().cast(SPANS))
-    allspans = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return df.withColumn(out, F.filter(allspans, lambda s: s["end"] > s["start"])).drop(*tmp)
-
-
-def _by_start(spans: Column) -> Column:
-    return F.sort_array(
-        F.transform(
-            spans,
-            lambda s: F.struct(
-                s["start"].alias("start"), s["end"].alias("end"), s["rule"].alias("rule"), s["value"].alias("value")
-            ),
-        )
-    )
-
-
-def with_resolved(df: DataFrame, cand_col: str, out: str) -> DataFrame:
-    """Greedy acceptance by (priority, start); a rejected span blocks nothing.
-
-    Fast path: when no two start-adjacent spans overlap, nothing overlaps at all
-    and every candidate is kept (one linear check).  Otherwise a fold in priority
-    order keeps a span only if it overlaps no kept span; texts with more than ``MANY``
-    candidates fold in an Arrow pass over a sorted list.
-    """
-    oc = f"_ord_{out}"
-    df = df.withColumn(oc, _by_start(F.col(cand_col)))
-    ordered = F.col(oc)
-    n = F.size(ordered)
-    k = F.greatest(n - 1, F.lit(0))
-    adjacent_ok = F.zip_with(F.slice(ordered, 1, k), F.slice(ordered, 2, k), lambda a, b: a["end"] <= b["start"])
-    clean = F.when(n < 2, F.lit(True)).otherwise(~F.array_contains(adjacent_ok, False))
-    greedy = F.aggregate(
-        F.sort_array(F.col(cand_col)),
-        F.array().cast(SPANS),
-        lambda acc, x: F.when(
-            F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"])), acc
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    cc, mc = f"_clean_{out}", f"_many_{out}"
-    many = F.pandas_udf(_many_resolved, T.ArrayType(ACCEPTED))
-    df = df.withColumn(cc, clean)
-    df = df.withColumn(mc, many(F.when(~F.col(cc) & (n > MANY), F.col(cand_col))))
-    folded = F.when(F.col(mc).isNotNull(), F.col(mc)).otherwise(_by_start(greedy))
-    return df.withColumn(out, F.when(F.col(cc), ordered).otherwise(folded)).drop(oc, cc, mc)
+    matches = {f"_m{r.idx}_{out}": F.regexp_extract_all(safe, F.lit(r.regex), 0) for r in rules.rules}
+    df = df.withColumns(matches)
+    none = F.array().cast("array<string>")
+    # without a match the whole text is one piece, which need not travel
+    df = df.withColumns({f"_p{r.idx}_{out}": F.when(F.size(f"_m{r.idx}_{out}") > 0, F.split(safe, r.regex, -1)).otherwise(none) for r in rules.rules})
+    named = [(r.idx, r.prio) for r in rules.rules]
+    spans = F.arrow_udf(lambda *columns: _spans_of(list(columns), named, resolve), SPANS_DDL)
+    args = [F.col(f"_{k}{r.idx}_{out}") for r in rules.rules for k in "mp"]
+    return df.withColumn(out, spans(*args)).drop(*matches, *[c.replace("_m", "_p", 1) for c in matches])
 
 
 def find_spans(df: DataFrame, text_col: str, rules: RuleSet, out: str = "spans") -> DataFrame:
-    return with_candidates(df, text_col, rules, out)
+    """Every candidate match of every rule, in start order (matches of no length are dropped)."""
+    return _with_spans(df, text_col, rules, out, resolve=False)
 
 
 def detect(df: DataFrame, text_col: str, rules: RuleSet, out: str = "spans") -> DataFrame:
-    """Accepted spans of a text, in start order (array<start,end,rule,value>)."""
-    cand = f"_cand_{out}"
-    return with_resolved(with_candidates(df, text_col, rules, cand), cand, out).drop(cand)
+    """Accepted spans of a text, in start order (array<start,end,rule,value>).
+
+    C2 is the greedy acceptance by (priority, start); a rejected span blocks nothing.  Texts in
+    which no two neighbours overlap keep all candidates.
+    """
+    return _with_spans(df, text_col, rules, out, resolve=True)
 
 
 def rule_lookup(rules: RuleSet, what: str) -> Column:
