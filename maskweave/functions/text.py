@@ -144,11 +144,10 @@ def round2(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
-def truncate_text(c: Column, n: int, marker: str = "\n[truncated by output policy]") -> Column:
+def truncate_text(c: Column, n: int | Column, marker: str = "\n[truncated by output policy]") -> Column:
     """Cut to ``n`` characters and mark; ``n <= 0`` leaves the text as is."""
-    if n <= 0:
-        return c
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(marker))).otherwise(c)
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.when((n > 0) & (F.length(c) > n), F.concat(c.substr(F.lit(1), n), F.lit(marker))).otherwise(c)
 
 
 def file_type(name: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from maskweave.plans import core, iac, more, rules_plans, scans
+from maskweave.plans import core, iac, more, payloads, rules_plans, scans
 
 REGISTRY: dict = {}
-for _mod in (core, scans, iac, rules_plans, more):
+for _mod in (core, scans, iac, rules_plans, more, payloads):
     REGISTRY.update(_mod.QUERIES)
 
 
