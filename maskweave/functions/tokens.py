@@ -83,6 +83,20 @@ def format_token(family: Column, n: Column) -> Column:
     )
 
 
+def print_token(family: str, n: int) -> str:
+    """Python twin of :func:`format_token`, for state that lives outside of columns."""
+    kind, body = family[:2], family[2:]
+    if kind == "N:":
+        return body.replace("{index}", str(n))
+    if kind == "E:":
+        word = ""
+        while n > 0:
+            n, rest = divmod(n - 1, 26)
+            word = chr(65 + rest) + word
+        return EMAIL_PREFIX + word + EMAIL_SUFFIX
+    return f"{body}_{n}" if n > 1 else body
+
+
 def canonical_family(family: Column) -> Column:
     """A label shares its numbers with the format ``label_{index}``: both print ``label_2``."""
     label = family.startswith("L:")

@@ -214,16 +214,88 @@ def clear_scope(vault: DataFrame, counters: DataFrame, scope: str) -> tuple[Data
     return vault.filter(F.col("scope") != scope), counters.filter(F.col("scope") != scope)
 
 
+class VaultLog:
+    """The vault as an append-only log in shared storage.
+
+    A version (a batch id) adds one folder with its new pairs and counters, so the cost of a batch is
+    its own; writing a version again replaces it.  A version counts once the job of its last
+    folder has left a ``_SUCCESS`` mark, so a half-written one is never read.  Pairs are dealt to ``buckets`` folders by
+    their scope's hash, whatever the number of scopes.  ``compact`` writes all versions up to one into a
+    base; readers start at the newest base.  ``drop`` and ``clear`` are recorded like pairs.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _target(self, part: str, kind: str, version: int) -> str:
+        return f"{self.path}/{part}/kind={kind}/version={version}"
+
+    def _folders(self, kind: str) -> list[int]:
+        """Versions of ``kind`` (delta or base) that are whole, found in storage; the counters are written last."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/counters/kind={kind}")
+        fs = root.getFileSystem(conf)
+        if not fs.exists(root):
+            return []
+        paths = [st.getPath() for st in fs.listStatus(root) if st.isDirectory()]
+        return sorted(int(p.getName().split("=")[1]) for p in paths if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def versions(self) -> list[int]:
+        return sorted({*self._folders("delta"), *self._folders("base")})
+
+    def _write(self, kind: str, version: int, pairs: DataFrame, counters: DataFrame) -> None:
+        bucket = F.pmod(F.xxhash64("scope"), F.lit(self.buckets)).cast("int").alias("bucket")
+        pairs.select(*VAULT_SCHEMA.fieldNames(), "gone", bucket).write.mode("overwrite").partitionBy("bucket").parquet(self._target("pairs", kind, version))
+        counters.select(*COUNTER_SCHEMA.fieldNames()).write.mode("overwrite").parquet(self._target("counters", kind, version))
+
+    def _read(self, part: str, schema: T.StructType, chosen: list[tuple[str, int]]) -> DataFrame:
+        folders = T.StructType([*schema.fields, T.StructField("kind", T.StringType()), T.StructField("version", T.LongType())])
+        reader = self.spark.read.schema(folders).option("basePath", f"{self.path}/{part}")
+        return reader.parquet(*[self._target(part, *c) for c in chosen])
+
+    def append(self, version: int, pairs: DataFrame, counters: DataFrame, dropped: DataFrame | None = None, cleared: DataFrame | None = None) -> None:
+        """Record ``pairs`` and ``counters`` (new or changed ones), ``dropped`` (scope, value) and ``cleared`` (scope)."""
+        rows = pairs.select(*VAULT_SCHEMA.fieldNames()).withColumn("gone", F.lit(False))
+        for gone in (dropped, cleared):
+            if gone is not None:
+                rows = rows.unionByName(gone.withColumn("gone", F.lit(True)), allowMissingColumns=True)
+        self._write("delta", version, rows, counters)
+
+    def load(self, before: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(pairs, counters) of all versions, or of those below ``before``."""
+        ok = lambda v: before is None or v < before
+        bases = [v for v in self._folders("base") if ok(v)]
+        base = bases[-1] if bases else None
+        chosen = [("delta", v) for v in self._folders("delta") if ok(v) and (base is None or v > base)]
+        if base is not None:
+            chosen.insert(0, ("base", base))
+        if not chosen:
+            return empty_vault(self.spark), empty_counters(self.spark)
+        schema = T.StructType([*VAULT_SCHEMA.fields, T.StructField("gone", T.BooleanType())])
+        log = self._read("pairs", schema, chosen)
+        counts = self._read("counters", COUNTER_SCHEMA, chosen)
+        clear = log.filter(F.col("gone") & F.col("value").isNull()).groupBy("scope").agg(F.max("version").alias("cleared"))
+        log = log.filter(F.col("value").isNotNull()).join(clear, "scope", "left").filter(F.col("cleared").isNull() | (F.col("version") > F.col("cleared")))
+        row = F.struct(*VAULT_SCHEMA.fieldNames()[2:], "gone")
+        # the newest entry of a value counts; a value that is dropped and put in one version stays
+        newest = log.groupBy("scope", "value").agg(F.max_by(row, F.struct("version", ~F.col("gone"))).alias("row"))
+        pairs = newest.select("scope", "value", "row.*").filter(~F.col("gone")).select(*VAULT_SCHEMA.fieldNames())
+        counts = counts.join(clear, "scope", "left").filter(F.col("cleared").isNull() | (F.col("version") > F.col("cleared")))
+        return pairs, counts.groupBy("scope", "template").agg(F.max("n").alias("n"))
+
+    def compact(self, version: int | None = None) -> None:
+        """Write all versions up to ``version`` (the newest) into a base; older folders are no longer read."""
+        version = self.versions()[-1] if version is None else version
+        pairs, counters = self.load(version + 1)
+        self._write("base", version, pairs.withColumn("gone", F.lit(False)), counters)
+
+
 def save_vault(vault: DataFrame, counters: DataFrame, path: str, batch_id: int) -> str:
-    """Write a new version directory per batch id (idempotent on replay)."""
-    target = f"{path.rstrip('/')}/batch={batch_id}"
-    vault.write.mode("overwrite").partitionBy("scope").parquet(target + "/pairs")
-    counters.write.mode("overwrite").parquet(target + "/counters")
-    return target
-
-
-def load_vault(spark: SparkSession, version_path: str) -> tuple[DataFrame, DataFrame]:
-    """Read one version back (the reverse map is the same table read by token)."""
-    pairs = spark.read.schema(VAULT_SCHEMA).parquet(version_path + "/pairs")
-    counters = spark.read.schema(COUNTER_SCHEMA).parquet(version_path + "/counters")
-    return pairs.select(*VAULT_SCHEMA.fieldNames()), counters
+    """Record ``vault`` as one version of the log at ``path`` (again, if it is there)."""
+    VaultLog(vault.sparkSession, path).append(batch_id, vault, counters)
+    return path
+
+
+def load_vault(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Read the log back (the reverse map is the same table read by token)."""
+    return VaultLog(spark, path).load()

@@ -324,7 +324,7 @@ GAP_MIN = 30
 def q_session_tokens(spark, sf_dir):
     register(spark, sf_dir, "events")
     ev = spark.sql(f"SELECT event_id, user_id, ts, {EVENT_TEXT} AS text FROM events")
-    sess = streams.sessions(ev, "user_id", "ts", GAP_MIN * 60)
+    sess = streams.sessions(ev, "user_id", "ts", GAP_MIN * 60, ["event_id"])
     res = rw.anonymize(sess, ["event_id"], ["text"], ruleset(spark, CORE_RULES), scope=F.col("session_scope"),
                        order_cols=["event_id"])
     return res.df.select("event_id", "text")
@@ -355,6 +355,38 @@ SELECT strftime(time_bucket(INTERVAL 1 hour, e.ts), '%Y-%m-%d %H:%M:%S') AS wind
 FROM acc JOIN events e ON e.event_id = acc.k GROUP BY 1, 2"""
 
 
+def _event_stream(spark, sf_dir):
+    """The events as a folder of files, one a day or so, written in order of time."""
+    register(spark, sf_dir, "events")
+    path = _scratch(spark, "event-files")
+    ev = spark.sql(f"SELECT event_id, user_id, cast(ts AS timestamp) AS ts, {EVENT_TEXT} AS text FROM events")
+    low, high = ev.agg(F.min("event_id"), F.max("event_id")).first()
+    for i in range(3):
+        a, b = (low + (high - low + 1) * k // 3 for k in (i, i + 1))
+        ev.filter((F.col("event_id") >= a) & (F.col("event_id") < b)).coalesce(1).write.mode("append").parquet(path)
+    return streams.read_stream(spark, path)
+
+
+def q_stream_session_tokens(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    sdf = _event_stream(spark, sf_dir)
+    out = streams.stream_session_tokens(sdf, "user_id", "ts", "event_id", "text", ruleset(spark, CORE_RULES), GAP_MIN * 60)
+    return streams.drain(out, _scratch(spark, "stream-sessions")).select(F.col("ord").alias("event_id"), "text")
+
+
+def q_stream_match_stats(spark, sf_dir):
+    out = streams.windowed_match_stats_stream(_event_stream(spark, sf_dir), "ts", "text", ruleset(spark, CORE_RULES), "6 hours", "2 hours", "1 hour")
+    return streams.drain(out, _scratch(spark, "stream-stats"))
+
+
+def o_stream_match_stats():
+    """Sliding windows that the watermark (an hour behind the last event) has closed."""
+    return f"""WITH e AS (SELECT ts, CASE WHEN n = 1 THEN 'ipv4' ELSE 'email' END AS rule_id FROM events, (VALUES (1), (2)) t(n)),
+w AS (SELECT time_bucket(INTERVAL 2 hours, ts) - INTERVAL 2 hours * k AS s, rule_id FROM e, range(3) r(k))
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, rule_id, count(*) AS n_matches FROM w
+WHERE s + INTERVAL 6 hours <= (SELECT max(ts) - INTERVAL 1 hour FROM events) GROUP BY 1, 2"""
+
+
 def q_stream_scan(spark, sf_dir):
     out = streams.stream_scan(spark, f"{sf_dir.rstrip('/')}/documents.parquet", "doc_id", "text",
                               _scratch(spark, "stream-scan"))
@@ -429,6 +461,8 @@ QUERIES = {
     "anonymize_parts": (q_anonymize_parts, o_anonymize_parts),
     "session_tokens": (q_session_tokens, o_session_tokens),
     "windowed_match_stats": (q_windowed_match_stats, o_windowed_match_stats),
+    "stream_session_tokens": (q_stream_session_tokens, o_session_tokens),
+    "stream_match_stats": (q_stream_match_stats, o_stream_match_stats),
     "stream_scan": (q_stream_scan, o_stream_scan),
     "stream_anonymize": (q_stream_anonymize, o_stream_anonymize),
 }
