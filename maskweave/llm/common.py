@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,22 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
         pa.default_memory_pool().release_unused()
 
 
+def frugal(run: Callable) -> Callable:
+    """``run`` (batches to batches), after whose end the worker gives its free memory back to the system.
+
+    A worker stays for later tasks, and its executor's other workers need the memory meanwhile.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts one after another, offsets), with null as the empty text."""
     column = column.cast(pa.large_string()).fill_null("")

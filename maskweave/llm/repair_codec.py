@@ -5,7 +5,8 @@ document's ids and the end id) are cut at documents into blocks of about ``BLOCK
 In a block, frequent pairs of neighbouring symbols are replaced by nonterminals again and
 again: a round counts all pairs, takes those that occur ``MIN_COUNT`` times or more, and
 replaces them from the left, never overlapping; it ends when there are none.  A pair that
-is replaced becomes a rule.
+is replaced becomes a rule.  (So a grammar is a block's, not a whole shard's, a round takes all
+frequent pairs and not only the most frequent one, and rarer pairs stay.)
 A row of the files is a block: its shard and number, its documents and their numbers of
 ids, the rules, the expansion length of every rule, and the sequence of symbols, little
 endian.  A range of ids is decoded without the rest: running expansion lengths say where
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import cut, steps
+from maskweave.llm.common import cut, frugal, steps
 from maskweave.llm.encoding import STEP, encoder, ragged, vocabulary
 from maskweave.session import checkpoint_dir
 
@@ -42,36 +43,59 @@ BUCKETS = 1 << 18
 BLOCK = "shard int, block int, doc_ids array<long>, sizes array<int>, rules binary, lengths binary, symbols binary"
 
 
+def grouped(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places) by key, then place; ``places`` are ascending."""
+    low = int(places[-1]).bit_length()
+    if int(keys.max()).bit_length() + low <= 64:  # both in one word, which sorts faster than an order does
+        both = (keys << np.uint64(low)) | places.astype(np.uint64)
+        both.sort()
+        return both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], places[order]
+
+
 def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules as pairs of symbols, expansion length of each rule, symbols) of a block of ids."""
-    symbols, rules, lengths = ids.astype(np.uint32), [], []
+    symbols, rules = ids.astype(np.uint32), []
+    if len(symbols) and int(symbols.max()) >= TERMINALS:
+        raise ValueError(f"token ids of {TERMINALS} and more are not coded")
     known = np.zeros(0, np.int64)
     while len(symbols) > 1:
-        pair = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+        width = np.uint64(int(symbols.max()).bit_length())
+        pair = (symbols[:-1].astype(np.uint64) << width) | symbols[1:]
         bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
         often = np.bincount(bucket, minlength=BUCKETS) >= min_count  # no pair outside can be frequent
         places = np.flatnonzero(often[bucket])
         if not len(places):
             break
-        value, which, count = np.unique(pair[places], return_inverse=True, return_counts=True)
-        places, which = places[count[which] >= min_count], which[count[which] >= min_count]
-        if not len(places):
+        key, places = grouped(pair[places], places)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(first, len(key)))
+        value = key[first][count >= min_count]
+        if not len(value):
             break
+        frequent = np.repeat(count >= min_count, count)
+        which = np.repeat(np.arange(len(value)), count[count >= min_count])
+        there = np.full(len(symbols), -1, np.int32)  # by place, the frequent pair that begins there
+        there[places[frequent]] = which
+        places = np.flatnonzero(there >= 0)
+        which = there[places]
         # of overlapping places, every second one of a run is taken
-        first = np.ones(len(places), bool)
-        first[1:] = np.diff(places) > 1
-        start = np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
+        new = np.ones(len(places), bool)
+        new[1:] = np.diff(places) > 1
+        start = np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))
         taken = (np.arange(len(places)) - start) % 2 == 0
         places, which = places[taken], which[taken]
-        used, which = np.unique(which, return_inverse=True)
-        new = TERMINALS + len(known) + np.arange(len(used))
-        halves = np.column_stack([value[used] >> np.uint64(32), value[used] & np.uint64(0xFFFFFFFF)]).astype(np.int64)
+        used = np.flatnonzero(np.bincount(which, minlength=len(value)))
+        number = np.zeros(len(value), np.int64)
+        number[used] = TERMINALS + len(known) + np.arange(len(used))
+        halves = np.column_stack([value[used] >> width, value[used] & ((np.uint64(1) << width) - np.uint64(1))]).astype(np.int64)
         size = np.where(halves < TERMINALS, 1, 0)
         inner = halves >= TERMINALS
         size[inner] = known[halves[inner] - TERMINALS]
         known = np.concatenate([known, size.sum(axis=1)])
         rules.append(halves)
-        symbols[places] = new[which]
+        symbols[places] = number[which]
         keep = np.ones(len(symbols), bool)
         keep[places + 1] = False
         symbols = symbols[keep]
@@ -79,19 +103,22 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, n
 
 
 def expand(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The ids that the symbols stand for."""
-    flat = np.arange(TERMINALS, TERMINALS + len(rules), dtype=np.uint32)
-    while (inner := flat >= TERMINALS).any():  # all rules, level by level
+    """The ids that the symbols stand for; only the rules that the symbols use are expanded, each once."""
+    used = np.unique(symbols[symbols >= TERMINALS]).astype(np.int64) - TERMINALS
+    flat = (used + TERMINALS).astype(np.uint32)
+    while (inner := flat >= TERMINALS).any():  # level by level
         out = np.repeat(flat, np.where(inner, 2, 1))
         at = np.flatnonzero(inner) + np.arange(int(inner.sum()))
         halves = rules[flat[inner].astype(np.int64) - TERMINALS]
         out[at], out[at + 1] = halves[:, 0], halves[:, 1]
         flat = out
-    ends = np.cumsum(lengths, dtype=np.int64)
+    sizes = lengths[used].astype(np.int64)
+    begins = np.zeros(len(lengths), np.int64)
+    begins[used] = np.cumsum(sizes) - sizes
     inner = symbols >= TERMINALS
     rule = symbols[inner].astype(np.int64) - TERMINALS
     starts, sizes = symbols.astype(np.int64), np.ones(len(symbols), np.int64)
-    starts[inner], sizes[inner] = TERMINALS + ends[rule] - lengths[rule], lengths[rule]
+    starts[inner], sizes[inner] = TERMINALS + begins[rule], lengths[rule]
     return np.concatenate([np.arange(TERMINALS, dtype=np.uint32), flat])[ragged(starts, sizes)]
 
 
@@ -139,7 +166,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", tie).mapInArrow(run, BLOCK).write.parquet(path)
+    rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie).mapInArrow(frugal(run), BLOCK).write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -167,7 +194,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     shards = shards.select("shard", F.coalesce(F.sum("n").over(earlier("all", "shard")), F.lit(0)).alias("shard_start"))
     totals = totals.select("shard", "block", F.coalesce(F.sum("n").over(earlier("shard", "block")), F.lit(0)).alias("block_start"))
     starts = cut(totals.join(shards, "shard"), "ids-starts")
-    found = blocks.mapInArrow(run, "shard int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    found = blocks.mapInArrow(frugal(run), "shard int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     placed = found.join(starts, ["shard", "block"])
     return placed.select("doc_id", (F.col("shard_start") + F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
