@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import cut, steps
-from maskweave.llm.encoding import MAX_PIECES, STEP, encoder, vocabulary
+from maskweave.llm.common import cut, frugal, steps
+from maskweave.llm.encoding import STEP, encoder, vocabulary
 from maskweave.operators.joins import two_level_rank
 
 CAPACITY = 2048
@@ -36,14 +36,13 @@ TOKENIZER = "byte_bpe_50k.json"
 def pieces_of(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY, lean: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32.
 
-    ``lean`` takes smaller steps with a small cache of words that goes at the end of each
-    task: slower, but the memory is there for the other stages of a job.
+    ``lean`` takes smaller steps, which leaves memory to the other stages of a job.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary(tokenizer), True)
-        for b in steps(batches, limit=STEP // 8 if lean else STEP):
-            ids, before = words.encode(b.column("text"), MAX_PIECES // 10 if lean else MAX_PIECES)
+        for b in steps(batches, limit=STEP // 4 if lean else STEP):
+            ids, before = words.encode(b.column("text"))
             rows = []
             for i in range(b.num_rows):
                 own = np.append(ids[before[i] : before[i + 1]], np.uint32(end)).astype("<u4")
@@ -53,11 +52,9 @@ def pieces_of(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
                 rows += [(i, p, s, e - s, zlib.crc32(data[4 * s : 4 * e])) for p, (s, e) in enumerate(zip(cuts, cuts[1:]))]
             which, piece, start, length, crc = (pa.array(c, pa.int64()) for c in zip(*rows))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(which), piece.cast(pa.int32()), start, length, crc], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        if lean:
-            words.clear()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
 def bins_of(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -128,7 +125,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     numbered = two_level_rank(pieces.withColumn("order", F.struct("doc_id", "piece", "ids_crc32")), ["length"], "order", "number")
     numbered = numbered.select(*pieces.columns, "number")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return numbered.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return numbered.mapInArrow(frugal(run), f"{schema}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, **options) -> DataFrame:

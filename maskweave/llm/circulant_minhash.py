@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import cut, flat_bytes, mix64, shingle_hashes, steps, word_hashes
+from maskweave.llm.common import cut, flat_bytes, frugal, mix64, shingle_hashes, steps, word_hashes
 from maskweave.llm.components import components
 
 BANDS = 64
@@ -113,7 +113,7 @@ def measure(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             columns = [*map(b.column, KEY), pa.array(np.diff(before).astype(np.int64)), *map(pa.array, digest), parity, keys]
             yield pa.RecordBatch.from_arrays(columns, [*KEY, "n", "d1", "d2", "bits", "bands"])
 
-    return docs.select(*key_of("doc_id", "text"), "text").mapInArrow(run, "id long, h1 long, h2 long, n long, d1 long, d2 long, bits array<long>, bands array<long>")
+    return docs.select(*key_of("doc_id", "text"), "text").mapInArrow(frugal(run), "id long, h1 long, h2 long, n long, d1 long, d2 long, bits array<long>, bands array<long>")
 
 
 def key_of(doc_id: str, text: str) -> list[Column]:
@@ -143,7 +143,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
 
     first = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     full = first.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return full.select("a", "b", "ta", "tb").mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def resolve(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = 75) -> DataFrame:

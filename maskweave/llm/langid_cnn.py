@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import flat_bytes, held_out, steps
+from maskweave.llm.common import flat_bytes, frugal, held_out, steps
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> ByteCnn:
             data = pa.array([w.tobytes() for w in x[at]], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(which)), data], ["lang", "bytes"])
 
-    got = rows.filter(drawn).select("lang", "text").mapInArrow(cut_windows, "lang string, bytes binary").toPandas()
+    got = rows.filter(drawn).select("lang", "text").mapInArrow(frugal(cut_windows), "lang string, bytes binary").toPandas()
     got = got.sort_values(["lang", "bytes"])  # the order in which rows arrive must not matter
     if not len(got):
         return ByteCnn([])
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, model: ByteCnn) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(frugal(run), f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: ByteCnn, at_least: float = 0.5) -> DataFrame:
@@ -192,4 +192,4 @@ def keep_known(docs: DataFrame, model: ByteCnn, at_least: float = 0.5) -> DataFr
             names, score = model.predict(b.column("text"))
             yield b.filter(pa.array((np.array(names) != UNKNOWN) & (score >= at_least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

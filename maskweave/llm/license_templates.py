@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from maskweave.llm.common import steps
+from maskweave.llm.common import frugal, steps
 
 #: Fixed values of the contract: phrase, label.
 PHRASES = (
@@ -156,4 +156,4 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> Data
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *fields])
 
     schema = f"doc_id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select("doc_id", "text").mapInArrow(scan, schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(scan), schema)

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import mix64, steps
+from maskweave.llm.common import frugal, mix64, steps
 
 MIN_LENGTH = 6
 MIN_REPEATS = 4
@@ -276,7 +276,7 @@ def collapse_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_words long, runs array<struct<start: long, length: long, period: long>>, collapsed string"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), schema)
 
 
 def plant(ids: list, counts: np.ndarray) -> np.ndarray:

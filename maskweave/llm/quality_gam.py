@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import IS_BLANK, flat_bytes, held_out, shingle_hashes, steps, word_hashes
+from maskweave.llm.common import IS_BLANK, flat_bytes, frugal, held_out, shingle_hashes, steps, word_hashes
 
 MAX_ROWS = 20_000
 BINS = 32
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     kinds = ", ".join(f"{f} double" for f in FEATURES)
-    got = rows.mapInArrow(measure, f"doc_id {id_type}, quality int, {kinds}").toPandas()
+    got = rows.mapInArrow(frugal(measure), f"doc_id {id_type}, quality int, {kinds}").toPandas()
     got = got.sort_values(["doc_id", *FEATURES])  # the order in which rows arrive must not matter
     return Gam(got[list(FEATURES)].to_numpy(float), got["quality"].to_numpy())
 
@@ -181,4 +181,4 @@ def score_quality(docs: DataFrame, model: Gam, at_least: float = 0.3) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= at_least).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(frugal(run), f"doc_id {id_type}, held_out boolean, score double, predicted int")

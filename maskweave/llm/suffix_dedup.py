@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import cut, mix64, steps
+from maskweave.llm.common import cut, frugal, mix64, steps
 from maskweave.operators.joins import hot_split_join
 from maskweave.session import checkpoint_dir
 
@@ -316,7 +316,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     texts.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, *KEY).saveAsTable(name)
     texts = spark.table(name)
 
-    found = texts.mapInArrow(_sampled(length, token), "k1 long, k2 long, copied boolean, token long, c1 long, c2 long, at long, again long")
+    found = texts.mapInArrow(frugal(_sampled(length, token)), "k1 long, k2 long, copied boolean, token long, c1 long, c2 long, at long, again long")
     found = cut(found, "suffix-stretches")
     times = F.expr("cast(again & 4294967295 as long)") * F.when(F.col("copied"), 2).otherwise(1)
     often = found.groupBy("token").agg(F.sum(times).alias("n")).filter("n > 1").select("token")
@@ -332,8 +332,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     others = kinds.join(several, "token").join(texts.select(*KEY, "raw"), KEY)
     others = cut(others.select(*KIND, "n", "kinds", "at", content.alias("content")), "suffix-contents")
     near = others.filter(F.col("kinds") <= group).repartitionByRange("token").sortWithinPartitions("token")
-    near = near.select(*KIND, "at", "content").mapInArrow(_sorted_bucket(length, at_once), RANGES)
-    far = others.filter(F.col("kinds") > group).select(*KIND, "at", "content").mapInArrow(_leads(length), "token long, c1 long, c2 long, f1 long, f2 long, place int")
+    near = near.select(*KIND, "at", "content").mapInArrow(frugal(_sorted_bucket(length, at_once)), RANGES)
+    far = others.filter(F.col("kinds") > group).select(*KIND, "at", "content").mapInArrow(frugal(_leads(length)), "token long, c1 long, c2 long, f1 long, f2 long, place int")
     far = cut(far, "suffix-leads")
     twice = far.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f1", "f2")
     far = hot_split_join(far, twice, ["f1", "f2"], **_hot(far)).groupBy(*KIND)
@@ -345,7 +345,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     single = found.filter(~F.col("copied"))
     marks = hot_split_join(single, ranges, KIND, **_hot(single))
     marks = marks.groupBy(*KEY).agg(F.collect_list(F.struct("at", "again", "ranges")).alias("marks"))
-    partly = texts.filter(~F.col("copied")).select(*KEY, "raw").join(marks, KEY).mapInArrow(_spans(length), "k1 long, k2 long, spans array<struct<a: int, b: int>>, kept binary")
+    partly = texts.filter(~F.col("copied")).select(*KEY, "raw").join(marks, KEY).mapInArrow(frugal(_spans(length)), "k1 long, k2 long, spans array<struct<a: int, b: int>>, kept binary")
     whole = texts.filter("copied").select(*KEY, F.array(F.struct(F.lit(0).alias("a"), F.length("raw").alias("b"))).alias("spans"), F.lit(b"").alias("kept"))
     out = cut(partly.unionByName(whole), "suffix-spans")
     spark.sql(f"DROP TABLE {name}")  # its files stay for running jobs, in the checkpoint folder

@@ -114,4 +114,4 @@ def test_pipeline_stages(spark, make):
     assert not any("@" in r["text"] for r in seen["personal_data"].collect())
     assert ids["packing"] == ids["mixing"] <= ids["personal_data"]
     assert [n for n, _ in p.STAGES] == ["language_id", "near_duplicates", "personal_data", "mixing", "packing"]
-    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(queries.QUERIES) and len(queries.QUERIES) == 13
