@@ -144,6 +144,7 @@ def anonymize(
     spans that share their key, and of rows that lack a token for a span come out
     null, never as they were; ``rejects`` holds their keys and reasons."""
     spark = df.sparkSession
+    prior = vault
     vault = vault if vault is not None else empty_vault(spark)
     counters = counters if counters is not None else empty_counters(spark)
     order_cols = order_cols or key_cols
@@ -165,13 +166,13 @@ def anonymize(
     occ = span_occurrences(hits, ["_row"], order_cols, text_cols, rules)
     values = first_occurrences(occ.select("scope", "value", "template", "ord"))
     guarded = None
-    if token_guard:  # a value that is a token of the prior vault stays as it is
+    if token_guard and prior is not None:  # a value that is a token of the prior vault stays as it is
         values = written(values, "values")
-        prior = vault.select("scope", F.col("token").alias("value")).distinct()
-        guarded = values.join(prior, ["scope", "value"], "left_semi").select("scope", "value", F.lit(None).cast("string").alias("token"))
-        values = values.join(prior, ["scope", "value"], "left_anti")
+        tokens = vault.select("scope", F.col("token").alias("value")).distinct()
+        guarded = values.join(tokens, ["scope", "value"], "left_semi").select("scope", "value", F.lit(None).cast("string").alias("token"))
+        values = values.join(tokens, ["scope", "value"], "left_anti")
 
-    new_rows, new_counters = allocate_tokens(values, vault, counters, [r.family for r in rules.rules], batch_id)
+    new_rows, new_counters = allocate_tokens(values, prior, counters, [r.family for r in rules.rules], batch_id)
     new_rows = written(new_rows, "new-tokens")
     full_vault = vault.unionByName(new_rows)
     lookup = full_vault.select("scope", "value", "token")
@@ -186,7 +187,7 @@ def anonymize(
     )
 
     # only rows with spans meet the per-row token lists; the rest pass through
-    shared = written(hits.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1"), "shared-keys")
+    shared = hits.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
     with_hits = hits.drop(*spans_names).join(per_row, "_row", "left")
     reason = F.when(F.coalesce("_known", F.lit(0)) != F.col("_n"), F.lit("token missing"))
     if not shared.isEmpty():

@@ -195,31 +195,39 @@ def export_rules(rules: DataFrame, path: str, exported_at: str = "1970-01-01T00:
     env.repartition("sheet_id").write.mode("overwrite").partitionBy("sheet_id").json(path)
 
 
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, doc) of whole files: a file is one JSON document, indented or not, or else one document a line."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^\\x{feff}", "").alias("value"))
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    each = F.forall(lines, lambda x: F.trim(x).rlike(r"^[{\[].*[}\]]$") & F.try_parse_json(x).isNotNull())
+    docs = files.select("file", F.explode(F.when(each, lines).otherwise(F.array("value"))).alias("doc"))
+    return docs.filter(F.trim("doc") != "")
+
+
 def read_rulesheets(spark: SparkSession, path: str, enabled_only: bool = True) -> DataFrame:
-    """A1: sheets (one JSON document per line or file); a malformed or ill-typed
+    """A1: sheets (whole JSON files, or one sheet a line); a malformed or ill-typed
     sheet contributes no rules; only enabled rules when ``enabled_only``."""
     schema = T.StructType(SHEET_SCHEMA.fields + [T.StructField("rulesheet", T.StringType())])
-    raw = spark.read.schema(schema).option("mode", "PERMISSIVE") \
-        .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    sheet = F.from_json("doc", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    raw = _documents(spark, path).select("file", sheet.alias("sheet")).select("file", "sheet.*")
     good = raw.filter(F.col("_corrupt_record").isNull() & F.col("rules").isNotNull())
-    ex = good.select(F.col("rulesheet").alias("sheet_id"), F.posexplode_outer("rules").alias("ordinal", "r")).filter(
+    ex = good.select(F.coalesce("rulesheet", "file").alias("sheet_id"), F.posexplode_outer("rules").alias("ordinal", "r")).filter(
         F.col("r").isNotNull())
     rules = normalize_rules(ex.select("sheet_id", "ordinal", "r.*"))
     return rules.filter("enabled") if enabled_only else rules
 
 
 def import_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A2: whole files holding either a bare array of rules or ``{rules: [...]}``
+    """A2: whole files holding either a bare array of rules or ``{rules: [...]}``, indented or not
     (one envelope per line is also accepted); rows with blank pattern and
     replacement are dropped; defaults as B1."""
-    files = spark.read.text(path, lineSep="\n").withColumn("file", F.input_file_name())
     arr_t = T.ArrayType(RULE_SCHEMA)
     obj_t = T.StructType([T.StructField("rules", arr_t), T.StructField("rulesheet", T.StringType())])
-    parsed = files.select(
+    parsed = _documents(spark, path).select(
         "file",
-        F.when(F.ltrim("value").startswith("["), F.from_json("value", arr_t))
-        .otherwise(F.from_json("value", obj_t)["rules"]).alias("rules"),
-        F.from_json("value", obj_t)["rulesheet"].alias("rulesheet"),
+        F.when(F.ltrim("doc").startswith("["), F.from_json("doc", arr_t))
+        .otherwise(F.from_json("doc", obj_t)["rules"]).alias("rules"),
+        F.from_json("doc", obj_t)["rulesheet"].alias("rulesheet"),
     )
     ex = parsed.select(F.coalesce("rulesheet", "file").alias("sheet_id"), F.posexplode_outer("rules").alias("ordinal", "r")) \
         .filter(F.col("r").isNotNull())

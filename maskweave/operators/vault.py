@@ -54,12 +54,14 @@ def first_occurrences(occ: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(new: DataFrame, taken: DataFrame, start: DataFrame) -> DataFrame:
+def _numbered(new: DataFrame, taken: DataFrame | None, start: DataFrame) -> DataFrame:
     """``new`` (scope, class, ord, value, ...) with ``idx``: consecutive numbers of each (scope, class) in order,
     from above ``start`` (scope, class, c), leaving out the numbers of ``taken`` (scope, class, t)."""
     key = ["scope", "class"]
     ranked = two_level_rank(new.withColumn("_by", F.struct("ord", "value")), key, "_by", out="r").drop("_by")
     ranked = ranked.join(start, key, "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
+    if taken is None:
+        return ranked.withColumn("idx", F.col("c") + F.col("r")).drop("r", "c")
     above = taken.join(start, key, "left").filter(F.col("t") > F.coalesce("c", F.lit(0))).select(*key, "t", F.coalesce("c", F.lit(0)).alias("c"))
     above = written(above.distinct(), "taken-numbers")
     if above.isEmpty():
@@ -74,7 +76,7 @@ def _numbered(new: DataFrame, taken: DataFrame, start: DataFrame) -> DataFrame:
 
 def allocate_tokens(
     occ: DataFrame,
-    vault: DataFrame,
+    vault: DataFrame | None,
     counters: DataFrame,
     families: list[str],
     batch_id: int = 0,
@@ -91,8 +93,12 @@ def allocate_tokens(
     Returns (new vault rows, new counters).
     """
     key = ["scope", "class"]
-    firsts = first_occurrences(occ)
-    new = firsts.join(vault.select("scope", "value"), ["scope", "value"], "left_anti")
+    new = first_occurrences(occ)
+    prior = vault
+    if prior is None:
+        vault = empty_vault(occ.sparkSession)
+    else:
+        new = new.join(vault.select("scope", "value"), ["scope", "value"], "left_anti")
     new = written(new.withColumn("family", family_col(F.col("template"))).withColumn("class", canonical_family(F.col("family"))), "new-values")
 
     stored = counters.withColumn("family", family_col(F.col("template"))).withColumn("class", canonical_family(F.col("family")))
@@ -112,7 +118,7 @@ def allocate_tokens(
         start = start.unionByName(least).groupBy(*key).agg(F.max("c").alias("c"))
         first = new.filter(F.col("token").isNotNull()).withColumn("idx", F.lit(1).cast("long"))
         new = new.filter(F.col("token").isNull()).drop("token")
-    rows = _numbered(new, taken, start)
+    rows = _numbered(new, None if prior is None else taken, start)
     rows = rows.withColumn("token", format_token(F.col("class"), F.col("idx")))
     if labels:
         rows = rows.unionByName(first)
@@ -158,8 +164,7 @@ def _unique(rows: DataFrame, vault: DataFrame) -> DataFrame:
             return rows
         key = ["scope", "class"]
         top = rows.groupBy(*key).agg(F.max("idx").alias("c"))
-        none = top.select("scope", "class", F.col("c").alias("t")).limit(0)
-        moved = _numbered(twice.drop("idx", "token"), none, top).withColumn("token", format_token(F.col("class"), F.col("idx")))
+        moved = _numbered(twice.drop("idx", "token"), None, top).withColumn("token", format_token(F.col("class"), F.col("idx")))
         rows = written(rows.join(twice.select("scope", "value"), ["scope", "value"], "left_anti").unionByName(moved.select(*rows.columns)), "tokens")
 
 

@@ -255,8 +255,9 @@ FROM ({CONV_SELECT}) c LEFT JOIN rw ON c.conv_id * 1000 + c.turn = rw.k"""
 
 def q_assemble_transcript(spark, sf_dir):
     res = _anon_conv(spark, sf_dir)
-    tokens = res.spans.groupBy(F.col("conv_id")).agg(
-        F.array_join(F.sort_array(F.collect_set("token")), ", ").alias("token_list"))
+    used = res.spans.select("conv_id", "token").distinct().join(res.vault.select("token", "batch_id", "ord"), "token")
+    tokens = used.groupBy("conv_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("batch_id", "ord", "token"))), lambda x: x["token"]), ", ").alias("token_list"))
     return cv.assemble_transcript(res.df.select("conv_id", "turn", "role", "text"), tokens)
 
 
@@ -264,7 +265,8 @@ def o_assemble_transcript():
     return f"""WITH {chain_ctes(CONV_SRC, CORE_RULES)},
 turns AS (SELECT c.conv_id, c.turn, c.role, coalesce(rw.text, c.text) AS text
           FROM ({CONV_SELECT}) c LEFT JOIN rw ON c.conv_id * 1000 + c.turn = rw.k),
-toks AS (SELECT k // 1000 AS conv_id, string_agg(DISTINCT token, ', ' ORDER BY token) AS token_list FROM tok GROUP BY 1),
+toks AS (SELECT conv_id, string_agg(token, ', ' ORDER BY o, -s) AS token_list
+         FROM (SELECT DISTINCT tok.k // 1000 AS conv_id, vault.token, vault.o, vault.s FROM tok JOIN vault ON tok.token = vault.token) GROUP BY 1),
 body AS (SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS body
          FROM turns WHERE NOT (role = 'assistant' AND coalesce(length(text), 0) = 0) GROUP BY conv_id)
 SELECT body.conv_id, CASE WHEN token_list IS NULL THEN body
@@ -273,19 +275,23 @@ FROM body LEFT JOIN toks USING (conv_id)"""
 
 
 def q_attach_files(spark, sf_dir):
-    conv = _conv(spark, sf_dir).filter(F.col("turn") == 0)
-    docs = table(spark, sf_dir, "documents")
-    files = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(0).alias("file_no"),
-                        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
-                        F.col("text"))
-    return cv.attach_files(conv, files).select("conv_id", "turn", "text")
+    """Anonymized files behind the anonymized turns, tokens from one vault."""
+    conv = _anon_conv(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    anon = rw.anonymize(docs, ["doc_id"], ["text"], ruleset(spark, CORE_RULES), conv.vault, conv.counters, batch_id=1)
+    files = anon.df.select((F.col("doc_id") % 200).alias("conv_id"), (F.col("doc_id") % 2).alias("turn"), F.col("doc_id").alias("file_no"),
+                           F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text"))
+    return cv.attach_files(conv.df, files).select("conv_id", "turn", "text")
 
 
 def o_attach_files():
-    return f"""SELECT c.conv_id, c.turn, CASE WHEN d.doc_id IS NULL THEN c.text ELSE c.text || chr(10) || chr(10) ||
-  '[Attached file: doc_' || CAST(d.doc_id AS VARCHAR) || '.txt]' || chr(10) || '```' || chr(10) ||
-  d.text || chr(10) || '```' END AS text
-FROM ({CONV_SELECT}) c LEFT JOIN documents d ON d.doc_id = c.conv_id WHERE c.turn = 0"""
+    src = f"{CONV_SRC} UNION ALL SELECT 1000000000 + doc_id, 1000000000 + doc_id, text FROM documents"
+    return f"""WITH {chain_ctes(src, CORE_RULES)},
+files AS (SELECT doc_id % 200 AS conv_id, doc_id % 2 AS turn, string_agg('[Attached file: doc_' || CAST(doc_id AS VARCHAR) || '.txt]' || chr(10) ||
+    '```' || chr(10) || coalesce(rw.text, d.text) || chr(10) || '```', chr(10) || chr(10) ORDER BY doc_id) AS body
+  FROM documents d LEFT JOIN rw ON rw.k = 1000000000 + d.doc_id GROUP BY 1, 2)
+SELECT c.conv_id, c.turn, coalesce(rw.text, c.text) || CASE WHEN f.body IS NULL THEN '' ELSE chr(10) || chr(10) || f.body END AS text
+FROM ({CONV_SELECT}) c LEFT JOIN rw ON c.conv_id * 1000 + c.turn = rw.k LEFT JOIN files f ON c.conv_id = f.conv_id AND c.turn = f.turn"""
 
 
 PARTS_SELECT = """

@@ -9,23 +9,26 @@ from maskweave.operators.rewrite import restore
 
 
 def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """A4: one row per file – path, base name, lower-case extension, UTF-8 content.
-    Unreadable files are skipped (``ignoreCorruptFiles``); each file is one task's row."""
+    """A4: one row per file – path, base name, lower-case extension, UTF-8 content, bytes, reason.
+    Files that cannot be read are skipped (``ignoreCorruptFiles``); a file that is no UTF-8 text has
+    null content and says so in ``reason``.  Each file is one task's row."""
     reader = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     df = reader.load(path)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
     return df.select(
         "path",
         name.alias("name"),
         F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("extension"),
-        F.decode("content", "UTF-8").alias("content"),
+        text.alias("content"),
         F.col("length").alias("bytes"),
+        F.when(text.isNull(), F.lit("not UTF-8 text")).alias("reason"),
     )
 
 
 def write_restored(df: DataFrame, vault: DataFrame, key_cols: list[str], text_col: str, path: str) -> None:
-    """A5: restore tokens (D1), then write as text files partitioned by nothing but keys kept in the rows."""
+    """A5: restore tokens (D1), then write the rows as Parquet with their keys."""
     restored = restore(df, vault, key_cols, text_col)
     restored.write.mode("overwrite").parquet(path)
