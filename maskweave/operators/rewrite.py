@@ -183,7 +183,9 @@ def anonymize(
     pats = rule_lookup(rules, "pattern")
     item = F.struct("col_no", "start", "end", "token", "value", "rule")
     per_row = tokened.groupBy("_row").agg(
-        F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), item))).alias("_repl"), F.count(F.lit(1)).alias("_known")
+        F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), item))).alias("_repl"),
+        F.collect_set(F.when(F.col("token").isNotNull(), F.struct(F.col("value").alias("key"), F.col("token").alias("value")))).alias("_pairs"),
+        F.count(F.lit(1)).alias("_known"),
     )
 
     # only rows with spans meet the per-row token lists; the rest pass through
@@ -196,21 +198,18 @@ def anonymize(
     with_hits = with_hits.withColumn("_reason", reason).drop("_known", "_rows", "_n", "_row")
     for c in text_cols:
         with_hits = with_hits.withColumn(c, F.when(F.col("_reason").isNull(), F.col(c)))
-    no_hits = detected.filter("_n = 0").drop(*spans_names, "_n", "_row").withColumn("_repl", F.lit(None))
+    no_hits = detected.filter("_n = 0").drop(*spans_names, "_n", "_row").withColumn("_repl", F.lit(None)).withColumn("_pairs", F.lit(None))
 
-    some = F.when(F.col("_reason").isNull(), F.col("_repl"))
-    repl = F.coalesce(some, F.array().cast(per_row.schema["_repl"].dataType))
+    # a withheld row has neither items nor pairs
+    given = lambda c: F.coalesce(F.when(F.col("_reason").isNull(), F.col(c)), F.array().cast(per_row.schema[c].dataType))
 
     def finish(d: DataFrame, hit: bool) -> DataFrame:
-        d = d.withColumn("_repl", repl)
+        d = d.withColumn("_repl", given("_repl")).withColumn("_pairs", given("_pairs"))
         if keep_original:
             for c in text_cols:
                 d = d.withColumn(f"{c}_original", F.col(c))
         for col_no, c in enumerate(text_cols if hit else []):
             d = d.withColumn(c, splice(F.col(c), F.col("_repl"), col_no))
-        pairs = F.array_distinct(
-            F.transform(F.col("_repl"), lambda x: F.struct(x["value"].alias("key"), x["token"].alias("value")))
-        )
         pat_of = lambda x: F.get(pats, x["rule"])
         breakdown = F.transform(
             F.array_distinct(F.transform(F.col("_repl"), pat_of)),
@@ -219,10 +218,10 @@ def anonymize(
             ),
         )
         return (
-            d.withColumn("mappings", F.map_from_entries(pairs))
+            d.withColumn("mappings", F.map_from_entries("_pairs"))
             .withColumn("total_matches", F.size("_repl"))
             .withColumn("pattern_breakdown", F.map_from_entries(breakdown))
-            .drop("_repl", "scope")
+            .drop("_repl", "_pairs", "scope")
         )
 
     out = finish(with_hits, True).unionByName(finish(no_hits, False))
