@@ -395,7 +395,7 @@ WHERE s + INTERVAL 6 hours <= (SELECT max(ts) - INTERVAL 1 hour FROM events) GRO
 
 def q_stream_scan(spark, sf_dir):
     out = streams.stream_scan(spark, f"{sf_dir.rstrip('/')}/documents.parquet", "doc_id", "text",
-                              _scratch(spark, "stream-scan"))
+                              _scratch(spark, "stream-scan"), files_per_batch=None)
     return out.select("doc_id", "value", "source")
 
 
@@ -407,7 +407,7 @@ def o_stream_scan():
 
 def q_stream_anonymize(spark, sf_dir):
     out = streams.stream_anonymize(spark, f"{sf_dir.rstrip('/')}/documents.parquet", ["doc_id"], "text",
-                                   ruleset(spark, CORE_RULES), _scratch(spark, "stream-anon"))
+                                   ruleset(spark, CORE_RULES), _scratch(spark, "stream-anon"), files_per_batch=None)
     return out.select("doc_id", "text", F.col("total_matches").cast("long").alias("total_matches"))
 
 

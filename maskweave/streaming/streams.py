@@ -147,13 +147,17 @@ def windowed_match_stats_stream(sdf: DataFrame, ts_col: str, text_col: str, rule
     return _window_counts(ex, ts_col, rule_lookup(rules, "rule_id"), width, slide)
 
 
-def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A file path streams its folder filtered to that file name; a folder streams all parquet files, one a batch, the oldest first."""
+def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    """A file path streams its folder filtered to that file name; a folder (also one named like a file) streams all
+    parquet files, ``files_per_batch`` a batch, the oldest first, or all that are there (None)."""
     import os
 
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-    if path.endswith(".parquet"):
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
         reader = reader.option("pathGlobFilter", os.path.basename(path))
         path = os.path.dirname(path)
     return reader.parquet(path)
@@ -176,12 +180,13 @@ def stream_detections(sdf: DataFrame, key: str, text_col: str, ts_col: str | Non
     return st.explode_detections(scanned, [key, "seen_at"], "_d").dropDuplicatesWithinWatermark([key, "value"])
 
 
-def stream_scan(spark: SparkSession, path: str, key: str, text_col: str, ckpt: str, ts_col: str | None = None, delay: str = "1 hour") -> DataFrame:
-    return drain(stream_detections(read_stream(spark, path), key, text_col, ts_col, delay), ckpt)
+def stream_scan(spark: SparkSession, path: str, key: str, text_col: str, ckpt: str, ts_col: str | None = None, delay: str = "1 hour",
+                files_per_batch: int | None = 1) -> DataFrame:
+    return drain(stream_detections(read_stream(spark, path, files_per_batch), key, text_col, ts_col, delay), ckpt)
 
 
 def stream_anonymize(spark: SparkSession, path: str, key_cols: list[str], text_col: str, rules: RuleSet,
-                     ckpt: str) -> DataFrame:
+                     ckpt: str, files_per_batch: int | None = 1) -> DataFrame:
     """G1: each micro-batch is anonymized against the vault log of all batches before it.  The batch's
     new pairs are a version of the log and its rows a folder of the output, both named by the batch id and
     replaced when the batch is run again; so tokens hold over restarts and no row comes twice."""
@@ -194,7 +199,7 @@ def stream_anonymize(spark: SparkSession, path: str, key_cols: list[str], text_c
         log.append(batch_id, res.new_vault, res.counters)
         res.df.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
-    q = (read_stream(spark, path).writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt + "/chk")
+    q = (read_stream(spark, path, files_per_batch).writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt + "/chk")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out_path).drop("batch")

@@ -112,3 +112,11 @@ def test_windows_close_behind_the_watermark(spark, rules):
     assert got == [("2023-12-31 23:30:00", "ipv4", 2), ("2024-01-01 00:00:00", "ipv4", 3), ("2024-01-01 00:30:00", "ipv4", 1)]
     batch = streams.windowed_match_stats(spark.read.parquet(path).filter("k < 3"), "k", "ts", "text", rules, "1 hour", "30 minutes")
     assert sorted(map(tuple, batch.collect())) == got
+
+
+def test_table_folder_named_like_a_file(spark, rules):
+    path = folder() + "/documents.parquet"
+    spark.createDataFrame([(i, f"at 10.0.0.{i % 5}") for i in range(20)], "k long, text string").repartition(3).write.parquet(path)
+    out = streams.stream_anonymize(spark, path, ["k"], "text", rules, folder(), files_per_batch=None)
+    assert {r["k"]: r["text"] for r in out.collect()} == {i: f"at IP_{i % 5 + 1}" for i in range(20)}
+    assert len(streams.drain(streams.read_stream(spark, path), folder()).collect()) == 20
