@@ -51,6 +51,14 @@ IAC_DETECTORS = {
     "arn": (r"\b(arn:aws[a-zA-Z-]*:[a-zA-Z0-9-]+:[a-z0-9-]*:\d{12}:[^\s\"',]+)", "", "ARN", "AWS ARN: "),
     "ip": (r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b(?!\/\d)", "", "IP", "IP address: "),
 }
+# Literal substrings one of which every match of a detector contains (lower-cased
+# when the detector ignores case): a cheap gate before the regex runs.
+IAC_GATES = {
+    "cidr": ["/"], "file_path": [".pub", ".pem", ".key", ".crt", ".cer", ".pfx", ".p12", ".jks"], "db_user": ["username"],
+    "db_password": ["password"], "resource": ["ame", "identifier"], "region": ["east-", "west-", "north-", "south-", "central-"],
+    "secret": ["api_key", "secret_key", "access_key", "auth_token", "client_secret", "webhook_secret"], "bucket": ["bucket"],
+    "ami": ["ami-"], "arn": ["arn:aws"], "ami_filter": ["server", "hvm", "ssd", "ebs", "gp2", "arm64", "amd64"],
+}
 # Pipeline orders (db = usernames then passwords).
 TERRAFORM_ORDER = ["cidr", "region", "account", "arn", "ami", "ami_filter", "file_path", "db_user", "db_password",
                    "secret", "bucket", "resource", "ip"]
@@ -99,13 +107,19 @@ def with_iac_detections(df: DataFrame, content_col: str, order: list[str], sourc
                         out: str = "iac_rules") -> DataFrame:
     """array<struct<pattern, replacement, description, source, value, det, n>> per row."""
     text = F.coalesce(F.col(content_col), F.lit(""))
-    tmp = []
+    lower_c = f"_iac_lower_{out}"
+    df = df.withColumn(lower_c, F.lower(text))
+    tmp = [lower_c]
     for name in order:
         src, flags, _rep, _desc = IAC_DETECTORS[name]
         c = f"_iac_{name}_{out}"
-        rx = jrx(src, flags)
-        df = df.withColumn(c, F.when(text.rlike(rx), F.filter(F.regexp_extract_all(text, F.lit(rx), 1), _keep(name)))
-                           .otherwise(F.array().cast(_STR_ARRAY)))
+        found = F.filter(F.regexp_extract_all(text, F.lit(jrx(src, flags)), 1), _keep(name))
+        if name in IAC_GATES:
+            gate = F.lit(False)
+            for lit in IAC_GATES[name]:
+                gate = gate | (F.col(lower_c) if "i" in flags else text).contains(lit)
+            found = F.when(gate, found).otherwise(F.array().cast(_STR_ARRAY))
+        df = df.withColumn(c, found)
         df = _first_positions(df, c)
         tmp.append(c)
     if "db_user" in order and "db_password" in order:
@@ -162,13 +176,14 @@ def scan_iac(df: DataFrame, key_cols: list[str], name_col: str, content_col: str
     is_tf = F.lower(F.regexp_extract(F.col(name_col), r"(\.[^./\\]*)$", 1)).isin(".tf", ".tfvars")
     tf = with_iac_detections(df.filter(is_tf), content_col, TERRAFORM_ORDER, "terraform", "_r")
     gen = with_iac_detections(df.filter(~is_tf | F.col(name_col).isNull()), content_col, GENERIC_ORDER, "generic", "_r")
-    both = tf.unionByName(gen)
-    ex = both.select(*key_cols, F.posexplode_outer("_r").alias("rule_no", "r")).filter(F.col("r").isNotNull())
+    # the source is a literal of each side, so that a filter on it leaves out the other pipeline
+    both = tf.withColumn("_source", F.lit("terraform")).unionByName(gen.withColumn("_source", F.lit("generic")))
+    ex = both.select(*key_cols, "_source", F.posexplode_outer("_r").alias("rule_no", "r")).filter(F.col("r").isNotNull())
     return ex.select(
         *key_cols,
         F.concat(F.lit("rule_"), F.substring(F.sha2(F.concat_ws("\u0000", *[F.col(c).cast("string") for c in key_cols],
                                                                  F.col("r.pattern")), 256), 1, 16)).alias("id"),
-        "r.pattern", "r.replacement", "r.description", "r.source", "rule_no",
+        "r.pattern", "r.replacement", "r.description", F.col("_source").alias("source"), "rule_no",
     )
 
 
