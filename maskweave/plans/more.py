@@ -362,15 +362,21 @@ FROM acc JOIN events e ON e.event_id = acc.k GROUP BY 1, 2"""
 
 
 def _event_stream(spark, sf_dir):
-    """The events as a folder of files, one a day or so, written in order of time."""
+    """The events as a folder of files, written in three parts in order of time; a part is a batch."""
     register(spark, sf_dir, "events")
     path = _scratch(spark, "event-files")
     ev = spark.sql(f"SELECT event_id, user_id, cast(ts AS timestamp) AS ts, {EVENT_TEXT} AS text FROM events")
     low, high = ev.agg(F.min("event_id"), F.max("event_id")).first()
-    for i in range(3):
-        a, b = (low + (high - low + 1) * k // 3 for k in (i, i + 1))
-        ev.filter((F.col("event_id") >= a) & (F.col("event_id") < b)).coalesce(1).write.mode("append").parquet(path)
-    return streams.read_stream(spark, path)
+    cuts = [low + (high - low + 1) * k // 3 for k in range(4)]
+    parts = [ev.filter((F.col("event_id") >= a) & (F.col("event_id") < b)) for a, b in zip(cuts, cuts[1:])]
+    # a part has as many files as there are cores, one a task, or one if some could be empty: rows are dealt in
+    # turn from each of ``tasks`` input tasks, so one that holds as many rows as there are files fills them all
+    files, tasks = spark.sparkContext.defaultParallelism, ev.rdd.getNumPartitions()
+    least = min(ev.agg(*[F.count_if((F.col("event_id") >= a) & (F.col("event_id") < b)) for a, b in zip(cuts, cuts[1:])]).first())
+    files = files if least > files * tasks else 1
+    for part in parts:
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    return streams.read_stream(spark, path, files)
 
 
 def q_stream_session_tokens(spark, sf_dir):

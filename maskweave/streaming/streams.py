@@ -40,7 +40,8 @@ class SessionTokens(StatefulProcessor):
 
     State: value → token and the tokens in use (maps), the counter of every template and the time of the last
     event.  An event later than ``gap`` after the last one starts a new session with empty state; a timer
-    clears the state once the watermark has passed the session's end.
+    clears the state once the watermark has passed the session's end.  Within a call the session is kept in
+    memory, and only what its last session adds is written.
     """
 
     def __init__(self, templates: list[str], families: list[str], gap_ms: int) -> None:
@@ -53,21 +54,22 @@ class SessionTokens(StatefulProcessor):
         self.counters = handle.getMapState("counters", "template string", "n long")
         self.last = handle.getValueState("last", "ms long")
 
-    def _clear(self) -> None:
-        for state in (self.tokens, self.used, self.counters, self.last):
-            state.clear()
-        self.near: dict[tuple[str, str], str | int] = {}
+    def _begin(self, stored: bool) -> None:
+        """A session of this call; ``stored``: the maps in state are its own."""
+        self.stored = stored
+        self.near: dict[tuple[str, str], str | int | None] = {}
+        self.new: set[tuple[str, str]] = set()
 
     def _get(self, kind: str, name: str):
         """An entry of a map, asked for once a call."""
         if (kind, name) not in self.near:
             state = getattr(self, kind)
-            self.near[kind, name] = state.getValue((name,))[0] if state.containsKey((name,)) else None
+            self.near[kind, name] = state.getValue((name,))[0] if self.stored and state.containsKey((name,)) else None
         return self.near[kind, name]
 
     def _put(self, kind: str, name: str, value) -> None:
-        getattr(self, kind).updateValue((name,), (value,))
         self.near[kind, name] = value
+        self.new.add((kind, name))
 
     def _token(self, value: str, rule: int) -> str:
         token = self._get("tokens", value)
@@ -84,17 +86,23 @@ class SessionTokens(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # a user's events of one micro-batch, in order of time
         events = pd.concat(list(rows)).sort_values(["ms", "ord"], kind="stable")
-        out, self.near = [], {}
-        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        last = known = self.last.get()[0] if self.last.exists() else None
+        self._begin(stored=known is not None)
         for ms, ord_, text, spans in zip(events["ms"].tolist(), events["ord"].tolist(), events["text"].tolist(), events["spans"].tolist()):
             if last is not None and ms - last > self.gap_ms:
-                self._clear()
+                self._begin(stored=False)
                 last = None
             for s in sorted(json.loads(spans), key=lambda s: -s["start"]):  # tokens are given from right to left
                 text = text[: s["start"]] + self._token(s["value"], s["rule"]) + text[s["end"] :]
             last = ms if last is None else max(ms, last)
             out.append((key[0], ord_, text))
         if out:
+            if known is not None and not self.stored:
+                for state in (self.tokens, self.used, self.counters):
+                    state.clear()
+            for kind, name in sorted(self.new):
+                getattr(self, kind).updateValue((name,), (self.near[kind, name],))
             self.last.update((last,))
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
@@ -103,7 +111,8 @@ class SessionTokens(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.last.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.last.get()[0] + self.gap_ms:
-            self._clear()
+            for state in (self.tokens, self.used, self.counters, self.last):
+                state.clear()
         yield pd.DataFrame([], columns=["user", "ord", "text"])
 
     def close(self) -> None:

@@ -120,3 +120,17 @@ def test_table_folder_named_like_a_file(spark, rules):
     out = streams.stream_anonymize(spark, path, ["k"], "text", rules, folder(), files_per_batch=None)
     assert {r["k"]: r["text"] for r in out.collect()} == {i: f"at IP_{i % 5 + 1}" for i in range(20)}
     assert len(streams.drain(streams.read_stream(spark, path), folder()).collect()) == 20
+
+
+def test_sessions_within_and_across_batches(spark, rules):
+    """Sessions that begin and end within a batch leave nothing to the next one; one that goes on keeps its tokens."""
+    path = folder() + "/in"
+    schema = "user string, ts timestamp, ord long, text string"
+    at = lambda m, i, ip: ("u", T0 + dt.timedelta(minutes=m), i, f"from {ip}")
+    put(spark, path, [at(0, 0, "10.0.0.1"), at(60, 1, "10.0.0.2"), at(120, 2, "10.0.0.3"), at(121, 3, "10.0.0.4")], schema)
+    put(spark, path, [at(130, 4, "10.0.0.4"), at(131, 5, "10.0.0.1"), at(200, 6, "10.0.0.4")], schema)
+    put(spark, path, [at(201, 7, "10.0.0.3"), at(202, 8, "10.0.0.4")], schema)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = streams.stream_session_tokens(streams.read_stream(spark, path), "user", "ts", "ord", "text", rules, 30 * 60)
+    got = {r["ord"]: r["text"] for r in streams.drain(out, folder()).collect()}
+    assert got == {i: f"from IP_{n}" for i, n in enumerate([1, 1, 1, 2, 2, 3, 1, 2, 1])}
