@@ -34,3 +34,15 @@ def test_word_boundary_is_ascii():
     rx = rule_regex(r"\b10\.0\b")
     # python's re follows the same lookaround semantics as the java translation
     assert re.search(rx.replace("\\u00a0", " "), "é10.0 x") is not None
+
+
+def test_required_literals():
+    from maskweave.functions.patterns import js_to_java, required_literals
+    from maskweave.functions.ruleset import BUILTIN_RULES
+
+    got = {r[0]: required_literals(js_to_java(r[2])) for r in BUILTIN_RULES}
+    assert got["email"] == ["@"] and got["ipv6"] == [":"] and got["jwt"] == ["eyJ"] and got["uuid"] == ["-"]
+    assert got["api-keys"] == ["AIza", "AKIA", "ghp_", "sk-"]
+    assert required_literals("a?b*(?:cd|e)") == ["cd", "e"]
+    for regex in ("(?i)abc", "(?i:abc)", "a|b?", "[ab]", r"\Qab\E", "x?"):
+        assert required_literals(regex) is None
