@@ -424,12 +424,12 @@ FROM documents d LEFT JOIN rw ON d.doc_id = rw.k"""
 
 
 def q_read_texts(spark, sf_dir):
-    from maskweave.sources.files import read_texts
+    from maskweave.sources.files import read_texts, write_texts
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = _scratch(spark, "texts")
-    # one text file per document (the folder name carries the id)
-    docs.repartition("doc_id").write.partitionBy("doc_id").text(out)
+    # one text file per document (its path carries the id)
+    write_texts(docs, "doc_id", "text", out)
     files = read_texts(spark, out, "*.txt")
     return files.select(F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), "extension",
                         F.length("content").cast("long").alias("n_chars"))
